@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quarryloom.llm import decontaminate
+from quarryloom.llm import chat, decontaminate, url_filter
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_chat_format": chat.op6_chat_format,
+    "op7_url_filter": url_filter.op7_url_filter,
 }
 
 ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op6_chat_format": chat.OP6_SQL,
 }
