@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarryloom.llm import chat, decontaminate, line_dedup, simhash_dedup, url_filter
+from quarryloom.llm import ann, chat, decontaminate, line_dedup, simhash_dedup, url_filter
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_chat_format": chat.op6_chat_format,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_nearest": ann.op9_nearest,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 
