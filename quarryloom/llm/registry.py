@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarryloom.llm import ann, chat, decontaminate, line_dedup, simhash_dedup, url_filter
+from quarryloom.llm import ann, chat, decontaminate, html_extract, line_dedup, simhash_dedup, url_filter
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_html_extract": html_extract.op5_html_extract,
     "op6_chat_format": chat.op6_chat_format,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_line_dedup": line_dedup.op8_line_dedup,
