@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarryloom.llm import ann, chat, decontaminate, html_extract, line_dedup, mixing, simhash_dedup, toxicity, url_filter
+from quarryloom.llm import ann, chat, decontaminate, html_extract, line_dedup, mixing, simhash_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_html_extract": html_extract.op5_html_extract,
     "op6_chat_format": chat.op6_chat_format,
