@@ -22,6 +22,8 @@ from quarryloom.llm.common import ascii_lower, fresh, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, ANCHOR, STRIDE = 8, 5, 4
+#: A document that repeats this many words of the benchmark is contaminated, whatever the items.
+MIN_HIT = 13
 #: Windows of the benchmark that may be broadcast (about 100 bytes each); beyond it the joins shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -126,30 +128,37 @@ def contamination(
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
-    remove: str = "documents",
+    remove: str = "both",
     min_items: int = 2,
+    min_hit: int = MIN_HIT,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """docs, all columns kept, without contaminated documents (windows of at least min_items items
-    occur in them) or, with remove="spans", with the hit words of every document cut out, each
-    together with what separates it from the word before."""
-    found = contamination(docs, benchmark, doc_id, text)
-    key, mine = fresh(docs, "_text_hash"), docs.columns
+    """docs, all columns kept, without what repeats the benchmark.
+
+    A document is contaminated if windows of at least min_items items occur in it, or at least min_hit of
+    its words are hit. remove="documents" drops contaminated documents, "spans" cuts the hit words out of
+    all documents, each together with what separates it from the word before, and "both" drops the
+    contaminated and cuts the others."""
+    if remove not in ("documents", "spans", "both"):
+        raise ValueError("remove is documents, spans or both")
+    bad = (F.size("items") >= min_items) | (F.size("hits") >= min_hit)
+    found = contamination(docs, benchmark, doc_id, text).filter(bad if remove == "documents" else F.size("hits") > 0)
+    key, mine = fresh(docs, "_text_hash"), [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    bad = found.filter(F.size("items") >= min_items) if remove == "documents" else found.filter(F.size("hits") > 0)
-    bad = bad.select(F.col("id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"), F.col("hits").alias("_bad_hits"))
-    on = keyed[doc_id].eqNullSafe(bad["_bad_id"]) & (keyed[key] == bad["_bad_hash"])
+    met = found.select(F.col("id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"), F.col("hits").alias("_bad_hits"), bad.alias("_bad"))
+    on = keyed[doc_id].eqNullSafe(met["_bad_id"]) & (keyed[key] == met["_bad_hash"])
     if remove == "documents":
-        return keyed.join(bad, on, "left_anti").select(*[F.col(f"`{c}`") for c in mine])
-    if remove != "spans":
-        raise ValueError("remove is documents or spans")
+        return keyed.join(met, on, "left_anti").select(*mine)
     word, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"{gap}*{word}+"), F.lit(0))
     tail = F.regexp_extract(F.col(text), f"({gap}*)\\z", 1)
     kept = F.filter(pieces, lambda _, i: ~F.array_contains(F.col("_bad_hits"), i))
     cut = F.when(F.col("_bad_hits").isNull(), F.col(text)).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return keyed.join(bad, on, "left").withColumn(text, cut).select(*[F.col(f"`{c}`") for c in mine])
+    rows = keyed.join(met, on, "left")
+    if remove == "both":
+        rows = rows.filter(F.col("_bad").isNull() | ~F.col("_bad"))
+    return rows.withColumn(text, cut).select(*mine)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,14 +238,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return Model(lexicon, lam, k, bias, slope)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", passages: bool = False) -> DataFrame:
-    """docs without text, with score and n_passages (significant segments); passages=True keeps text and
-    adds passages: array of start, end (words), score, expected and the words themselves."""
-    keep = [c for c in docs.columns if c != text or passages]
-    fields = [*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.LongType())]
-    passage = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType()), T.StructField("words", T.StringType())])
-    if passages:
-        fields.append(T.StructField("passages", T.ArrayType(passage)))
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False, passages: bool = False) -> DataFrame:
+    """docs (without text, unless asked for) with score and n_passages (significant segments); passages=True
+    adds _passages: array of start, end (words), score, expected and the words themselves."""
+    at = docs.columns.index(text)
+    keep = [i for i in range(len(docs.columns)) if i != at or keep_text]
+    names = ["score", "n_passages", "passages"] if not keep_text else ["_score", "_n_passages", "_passages"]
+    long, double = T.LongType(), T.DoubleType()
+    passage = T.StructType([T.StructField("start", long), T.StructField("end", long), T.StructField("score", double), T.StructField("expected", double), T.StructField("words", T.StringType())])
+    new = [T.StructField(names[0], double), T.StructField(names[1], long), *([T.StructField(names[2], T.ArrayType(passage))] if passages else [])]
+    fields = [*(docs.schema.fields[i] for i in keep), *new]
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64()), ("words", pa.string())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -253,7 +255,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", passages: bool = Fa
         m = shared.value
         for batch in batches:
             scores, counts, lists = [], [], []
-            for t in batch.column(len(keep)):
+            for t in batch.column(at):
                 toks = words(t.as_py())
                 found = m.segments(toks)
                 strong = [s for s in found if m.expected(len(toks), s.score) <= SIGNIFICANT]
@@ -261,12 +263,18 @@ def score(docs: DataFrame, model: Model, text: str = "text", passages: bool = Fa
                 counts.append(len(strong))
                 if passages:
                     lists.append([{"start": s.start, "end": s.end, "score": s.score, "expected": m.expected(len(toks), s.score), "words": " ".join(toks[s.start : s.end])} for s in strong])
-            cols = [*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(counts, pa.int64())]
+            cols = [*(batch.column(i) for i in keep), pa.array(scores, pa.float64()), pa.array(counts, pa.int64())]
             if passages:
                 cols.append(pa.array(lists, arrow))
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_scored_text")).mapInArrow(of, T.StructType(fields))
+    return docs.mapInArrow(of, T.StructType(fields))
+
+
+def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs, all columns kept, without those that score threshold or more."""
+    scored = score(docs, train(docs, labels, doc_id, text), text, keep_text=True)
+    return scored.filter(F.col("_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
