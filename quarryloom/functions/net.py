@@ -7,6 +7,7 @@ import socket
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # fixed values: reserved IPv4 ranges
 RESERVED_V4 = [
@@ -64,7 +65,7 @@ def address_reserved(address: str | None) -> bool:
     return n >> 32 in (0, 0xFFFF, 0x64FF9B << 64) and v4(n & 0xFFFFFFFF)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def ip_reserved(address: pd.Series) -> pd.Series:
     return address.map(address_reserved).astype(bool)
 
