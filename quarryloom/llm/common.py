@@ -45,6 +45,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_remove)
     _written.append((spark, path))
     df.write.parquet(path)
+    # what was shuffled for this table is garbage now; Spark deletes the files of collected shuffles
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
