@@ -3,7 +3,7 @@
 A vector is represented by its PREFIX nearest of PIVOTS pivots, in order. Blocks of up to BLOCK vectors
 keep an inverted file for each pivot: which vectors list it, and at which rank. A query visits the files
 of its own pivots, which gives the footrule distance (the sum of rank differences, PREFIX where a pivot
-is missing) to every vector of the block; the nearest SHARE of the block by footrule, ties included, is
+is missing) to every vector of the block; the nearest SHARE of the block by footrule (LEAST vectors at least), ties included, is
 reranked by cosine in double precision on the original vectors. share=1.0 is an exact search.
 
 Pivots are the PIVOTS vectors of smallest hash: a bounded sample; every vector is indexed. Equal vectors
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.llm.common import table, written
 
-PIVOTS, PREFIX, SHARE, BLOCK, CHUNK = 256, 32, 0.3, 8192, 1024
+PIVOTS, PREFIX, SHARE, LEAST, BLOCK, CHUNK = 256, 32, 0.3, 200, 8192, 1024
 
 
 def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -70,7 +70,7 @@ class PermutationBlock:
 
     def search(self, q: np.ndarray, prefix: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of the candidates and their cosines with q."""
-        keep = max(1, int(np.ceil(self.n * share)))
+        keep = max(LEAST, int(np.ceil(self.n * share)))
         if keep < self.n:
             far = self.footrule(prefix)
             cand = np.nonzero(far <= np.partition(far, keep - 1)[keep - 1])[0]

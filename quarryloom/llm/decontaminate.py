@@ -77,15 +77,16 @@ def contamination(
     anchors = small(wins.select(F.explode("anchors").alias("gram")).distinct().withColumn("known", F.lit(True)))
 
     toks = F.col("toks")
-    at = lambda s, n: F.struct(s.alias("pos"), F.lit(n).alias("len"), _gram(toks, s, min(n, ANCHOR) if n == WINDOW else n).alias("gram"))
-    looked_up = [
-        F.transform(_upto(F.size(toks) - ANCHOR, STRIDE), lambda s: at(s, WINDOW)),
-        *(F.transform(_upto(F.size(toks) - n), lambda s, n=n: at(s, n)) for n in sorted(stats[1])),
-    ]
+    def looked_up(n: int) -> Column:
+        """pos, len and gram of every place where a window of n words may start, or its anchor if n is WINDOW."""
+        size, step = (ANCHOR, STRIDE) if n == WINDOW else (n, 1)
+        return F.transform(_upto(F.size(toks) - size, step), lambda s: F.struct(s.alias("pos"), F.lit(n).alias("len"), _gram(toks, s, size).alias("gram")))
+
+    lookups = [looked_up(n) for n in sorted({WINDOW, *stats[1]})]
     mark = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("gram")))
     scan = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), words(F.col(text)).alias("toks"))
     found = (
-        scan.select("*", F.explode(F.concat(mark, *looked_up)).alias("g"))
+        scan.select("*", F.explode(F.concat(mark, *lookups)).alias("g"))
         .select("id", "text_hash", "toks", "g.pos", "g.len", "g.gram")
         .join(anchors, "gram", "left")
         .filter(F.col("known") | (F.col("pos") < 0))

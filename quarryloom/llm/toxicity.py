@@ -10,8 +10,8 @@ z >= LEAST_Z and log-odds >= LEAST_ODDS, score their log-odds; every other word
 Scoring: one linear scan finds all maximal-scoring segments of a text (Ruzzo and Tompa). A segment of
 score s in n words has the expected number E = K n exp(-lambda s) of chance segments as good in a clean
 text: lambda solves the clean words' equation sum p exp(lambda s) = 1, K is fitted on clean documents.
-The document's -ln E of its best segment goes through a logistic curve fitted on labelled documents
-that gave no words; segments with E <= SIGNIFICANT are its toxic passages.
+The best segment's -ln P, with P = 1 - exp(-E) the chance of one as good, goes through a logistic curve
+fitted on labelled documents that gave no words; segments with E <= SIGNIFICANT are its toxic passages.
 
 Training reads at most SAMPLE documents of each class, those of the smallest hash of doc_id, as the
 labels' bounded sample; class weights restore their proportion. The model is a few thousand numbers.
@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 from quarryloom.llm.common import table, written
 
 SAMPLE, LEXICON, LEAST_Z, LEAST_ODDS, PRIOR, DRIFT, SIGNIFICANT = 20_000, 20_000, 3.0, 1.0, 500.0, 0.5, 0.01
+MOST_SURPRISE = 40.0
 _WORD = re.compile(r"[^\W_]+")
 _BITS = 256
 
@@ -76,6 +77,12 @@ def maximal_segments(n: int, hits: list[tuple[int, float]], drift: float = DRIFT
     return [Segment(s, e, r - le) for le, r, s, e, _ in found]
 
 
+def surprises(n: np.ndarray, best: np.ndarray, lam: float, k: float) -> np.ndarray:
+    expected = k * np.maximum(n, 1.0) * np.exp(-lam * best)
+    chance = -np.expm1(-expected)
+    return np.where(best > 0, np.minimum(-np.log(np.maximum(chance, 1e-300)), MOST_SURPRISE), 0.0)
+
+
 class Model(NamedTuple):
     lexicon: dict[str, float]
     lam: float
@@ -84,8 +91,8 @@ class Model(NamedTuple):
     slope: float
 
     def surprise(self, n: int, best: float) -> float:
-        """-ln E, kept within what the curve was fitted on."""
-        return max(-20.0, min(40.0, self.lam * best - math.log(self.k * max(n, 1))))
+        """-ln of the probability 1 - exp(-E) that a clean text's best segment is as good; 0 without one."""
+        return float(surprises(np.array([n]), np.array([best]), self.lam, self.k)[0])
 
     def expected(self, n: int, score: float) -> float:
         return self.k * max(n, 1) * math.exp(-self.lam * score)
@@ -234,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not clean.any() or clean.all():
         return constant
     k = float(w[clean].sum() / (w[clean] * np.exp(log_n[clean] - lam * top[clean])).sum())
-    bias, slope = _logistic(np.clip(lam * top - math.log(k) - log_n, -20.0, 40.0), y, w / w.sum() * len(w))
+    bias, slope = _logistic(surprises(np.exp(log_n), top, lam, k), y, w / w.sum() * len(w))
     return Model(lexicon, lam, k, bias, slope)
 
 
