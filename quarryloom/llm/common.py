@@ -12,6 +12,25 @@ from pyspark.sql import functions as F
 _SETTING = "spark.checkpoint.dir"
 _fallback: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
+_scopes: list[Scope] = []
+
+
+class Scope:
+    """Collects the tables that are written while it is entered, for remove()."""
+
+    def __init__(self):
+        self.tables: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scope:
+        _scopes.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scopes.remove(self)
+
+    def remove(self) -> None:
+        """Only once what was made of the tables is written elsewhere."""
+        _remove(self.tables)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,24 +53,36 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a file, where their number is known to be small.
+ROWS_A_FILE = 50_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, kept when an executor is lost.
 
-    The table is removed when the driver's process ends.
+    rows: about how many there are, where that is known: few rows make few files. The table is removed
+    when the driver's process ends.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _written:
-        atexit.register(_remove)
+        atexit.register(lambda: _remove(_written))
     _written.append((spark, path))
+    for scope in _scopes[-1:]:
+        scope.tables.append((spark, path))
     df.write.parquet(path)
     # what was shuffled for this table is garbage now; Spark deletes the files of collected shuffles
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove() -> None:
-    for spark, path in _written:
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    while tables:
+        spark, path = tables.pop()
+        if (spark, path) in _written:
+            _written.remove((spark, path))
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

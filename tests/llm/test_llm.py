@@ -276,11 +276,11 @@ def lines_by_hand(rows):
     for i, t in keyed:
         for n, line in enumerate(t.split("\n")):
             norm = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", re.sub("[1-9]", "0", line.lower())).strip(" ")
-            if len(set(norm.split(" "))) >= line_dedup.MIN_WORDS:
+            if len(norm.split(" ")) >= line_dedup.MIN_WORDS:
                 occurrences[norm].append((i, t, n))
 
     def sim(norm):
-        words, counts = set(norm.split(" ")), [0] * 56
+        words, counts = [w for w in norm.split(" ") if len(w) >= line_dedup.FEATURE_CHARS], [0] * 56
         for w in words:
             h = xxhash.xxh64(w.encode(), seed=42).intdigest()
             for b in range(56):
