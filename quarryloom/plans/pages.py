@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryloom.functions.cjk import cjk_normalised
-from quarryloom.functions.net import ip_reserved
+from quarryloom.functions.net import V4_BOUNDS, ip_reserved
 from quarryloom.functions.urls import origin
 from quarryloom.operators import extract as E
 from quarryloom.operators import geometry as G
@@ -63,7 +63,10 @@ def cjk_normalise(spark, sf):
     return table(spark, sf, "documents").select("doc_id", cjk_normalised(F.concat("text", F.lit(" とても **重要** です ＡＢＣ"))).alias("text"))
 
 
-@query("ip_reserved")
+@query(
+    "ip_reserved",
+    f"""SELECT event_id, '64:ff9b::' || upper(to_hex(event_id % 65536)) || ':1' AS ip, {' OR '.join(f'(event_id % 65536) * 65536 + 1 BETWEEN {a} AND {b}' for a, b in V4_BOUNDS)} AS reserved FROM events""",
+)
 def ip_reserved_query(spark, sf):
     v6 = F.concat(F.lit("64:ff9b::"), F.hex(F.col("event_id") % 65536), F.lit(":1"))
     return table(spark, sf, "events").select("event_id", v6.alias("ip"), ip_reserved(v6).alias("reserved"))
