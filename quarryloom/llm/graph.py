@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quarryloom.llm.common import written
 
 MAX_ROUNDS = 60
+#: Links that one task takes: a round of so few needs no shuffle.
+ONE_TASK = 200_000
 
 
 def _step(links: DataFrame, large: bool) -> DataFrame:
@@ -44,7 +46,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not last[0]:
             break
-        now = written(_step(_step(now, True), False), "links")
+        few = now.coalesce(1) if last[0] <= ONE_TASK else now
+        now = written(_step(_step(few, True), False), "links", 2 * last[0])
         if (found := state(now)) == last:
             break
         last = found

@@ -297,6 +297,7 @@ def lines_by_hand(rows):
         return p[-1]
 
     norms = list(occurrences)
+    featured = [any(len(w) >= line_dedup.FEATURE_CHARS for w in n.split(" ")) for n in norms]
     sims, root = [sim(n) for n in norms], list(range(len(norms)))
 
     def find(i):
@@ -307,7 +308,7 @@ def lines_by_hand(rows):
     for i in range(len(norms)):
         for j in range(i):
             m = max(len(norms[i]), len(norms[j]))
-            if (sims[i] ^ sims[j]).bit_count() <= line_dedup.DISTANCE and lev(norms[i], norms[j]) <= m * 0.2 + 1e-9:
+            if featured[i] and featured[j] and (sims[i] ^ sims[j]).bit_count() <= line_dedup.DISTANCE and lev(norms[i], norms[j]) <= m * 0.2 + 1e-9:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     groups = collections.defaultdict(list)
