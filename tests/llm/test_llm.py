@@ -351,6 +351,18 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_edited_lines_are_linked(spark):
+    """Recall against edit similarity alone: a copy with one letter changed is above 0.8, and goes."""
+    rng = random.Random(88)
+    rows = []
+    for i in range(120):
+        line = prose(rng, rng.randint(5, 40))
+        at = rng.randrange(len(line))
+        rows += [(2 * i, line), (2 * i + 1, line[:at] + "x" + line[at + 1 :])]
+    gone = line_dedup.dedup_lines(docs_of(spark, rows)).filter("_lines_removed > 0").collect()
+    assert {r["doc_id"] % 2 for r in gone} == {1} and len(gone) >= 0.95 * 120
+
+
 # 9
 def test_nearest(spark):
     rng = np.random.default_rng(9)
