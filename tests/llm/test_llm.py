@@ -363,6 +363,14 @@ def test_edited_lines_are_linked(spark):
     assert {r["doc_id"] % 2 for r in gone} == {1} and len(gone) >= 0.95 * 120
 
 
+def test_short_lines(spark):
+    """Equal lines of few words, or of a script without spaces, go whatever their length; near ones only if long."""
+    chinese = "这是一个没有空格的句子它应该被去重因为它出现了两次"
+    rows = [(0, f"all rights reserved\n\n{chinese}\nletzte"), (1, f"All rights reserved.\n\n{chinese}"), (2, "Letzte\nietzte"), (3, f"{chinese[:-1]}回\n!!")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == {0: rows[0][1], 1: "", 2: "ietzte", 3: "!!"}
+
+
 # 9
 def test_nearest(spark):
     rng = np.random.default_rng(9)
