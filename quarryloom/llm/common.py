@@ -57,11 +57,11 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_A_FILE = 50_000
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, kept when an executor is lost.
 
-    rows: about how many there are, where that is known: few rows make few files. The table is removed
-    when the driver's process ends.
+    rows: about how many there are, where that is known: few rows make few files; options: of the
+    writer. The table is removed when the driver's process ends.
     """
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
@@ -72,9 +72,7 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     _written.append((spark, path))
     for scope in _scopes[-1:]:
         scope.tables.append((spark, path))
-    df.write.parquet(path)
-    # what was shuffled for this table is garbage now; Spark deletes the files of collected shuffles
-    spark.sparkContext._jvm.System.gc()
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -270,23 +270,15 @@ def test_urls(spark):
 
 # 8
 def lines_by_hand(rows):
-    """Groups of occurrences (doc_id, text, line number), by comparing every pair of lines."""
+    """Groups of occurrences (doc_id, text, line number), by the edit similarity of every pair of lines."""
     occurrences = collections.defaultdict(list)
     keyed = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0]))
     for i, t in keyed:
         for n, line in enumerate(t.split("\n")):
             norm = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", re.sub("[1-9]", "0", line.lower())).strip(" ")
-            if len(norm.split(" ")) >= line_dedup.MIN_WORDS:
+            if norm:
                 occurrences[norm].append((i, t, n))
 
-    def sim(norm):
-        words, counts = [w for w in norm.split(" ") if len(w) >= line_dedup.FEATURE_CHARS], [0] * 56
-        for w in words:
-            h = xxhash.xxh64(w.encode(), seed=42).intdigest()
-            for b in range(56):
-                counts[b] += h >> (b if b < 28 else b + 4) & 1
-        return sum(1 << b for b in range(56) if 2 * counts[b] > len(words))
-
     def lev(a, b):
         p = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -296,19 +288,24 @@ def lines_by_hand(rows):
             p = q
         return p[-1]
 
-    norms = list(occurrences)
-    featured = [any(len(w) >= line_dedup.FEATURE_CHARS for w in n.split(" ")) for n in norms]
-    sims, root = [sim(n) for n in norms], list(range(len(norms)))
+    norms, root = list(occurrences), list(range(len(occurrences)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
+    def alike(a, b):
+        m = max(len(a), len(b))
+        if min(len(a), len(b)) < max(line_dedup.FUZZY_CHARS, m * 0.8):
+            return False
+        x, y = a.split(" "), b.split(" ")
+        share = lev(x, y) / max(len(x), len(y))
+        return share <= 0.1 or (share <= 0.2 if m > line_dedup.LONG else share <= 0.6 and lev(a, b) <= m * 0.2 + 1e-9)
+
     for i in range(len(norms)):
         for j in range(i):
-            m = max(len(norms[i]), len(norms[j]))
-            if featured[i] and featured[j] and (sims[i] ^ sims[j]).bit_count() <= line_dedup.DISTANCE and lev(norms[i], norms[j]) <= m * 0.2 + 1e-9:
+            if alike(norms[i], norms[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     groups = collections.defaultdict(list)
@@ -335,7 +332,7 @@ def test_lines(spark):
         w[rng.randrange(len(w))] = "changed"
         rows.append((i, "\n".join([*lines, " ".join(w)])))
     rows += ODD + [(95, "one two three four\n\none two three four"), (96, "a " * 20000)]
-    df = docs_of(spark, rows).withColumn("gone", F.lit("clash"))
+    df = docs_of(spark, rows).withColumns({c: F.lit("clash") for c in ("gone", "_gone", "_gone_id", "_gone_hash", "_text_hash")})
     got = line_dedup.dedup_lines(df)
     assert got.columns == [*df.columns, "_lines_removed"] and got.count() == len(rows)
     kept = collections.defaultdict(set)
