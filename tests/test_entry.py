@@ -17,11 +17,13 @@ def test_every_oracle_has_its_query():
 
 
 @pytest.mark.skipif(not (ROOT / "quarryloom/llm").exists(), reason="already without it")
-def test_the_rest_stands_alone(tmp_path):
-    shutil.copytree(ROOT / "quarryloom", tmp_path / "quarryloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_the_rest_stands_alone(tmp_path, pipeline):
+    """The whole tree without the corpus subpackage, and then without the pipeline too."""
+    gone = ["llm", "__pycache__", ".git", *([] if pipeline else ["corpus_pipeline.py"])]
+    shutil.copytree(ROOT, tmp_path / "tree", ignore=shutil.ignore_patterns(*gone))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'fetch_view_auto' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q), q; e.oracle_sql()"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "tree", env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "tree")}, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
 
 
