@@ -83,13 +83,14 @@ def contamination(
         return F.transform(_upto(F.size(toks) - size, step), lambda s: F.struct(s.alias("pos"), F.lit(n).alias("len"), _gram(toks, s, size).alias("gram")))
 
     lookups = [looked_up(n) for n in sorted({WINDOW, *stats[1]})]
-    mark = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("gram")))
+    # one row a document whatever is met; its keys are the document's own, so that these rows are dealt evenly
+    mark = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.col("text_hash").alias("gram")))
     scan = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), words(F.col(text)).alias("toks"))
     found = (
         scan.select("*", F.explode(F.concat(mark, *lookups)).alias("g"))
         .select("id", "text_hash", "toks", "g.pos", "g.len", "g.gram")
         .join(anchors, "gram", "left")
-        .filter(F.col("known") | (F.col("pos") < 0))
+        .filter((F.col("pos") < 0) | F.col("known"))
     )
     # all windows that hold the anchor that was met
     first = F.when(F.col("len") == WINDOW, F.greatest(F.col("pos") - (WINDOW - ANCHOR), F.lit(0))).otherwise(F.col("pos"))
@@ -102,7 +103,7 @@ def contamination(
         ),
     )
     seen = found.select("id", "text_hash", F.size(toks).alias("n_words"), "pos", "len", F.explode_outer(around).alias("w"))
-    met = seen.select("id", "text_hash", "n_words", "pos", "len", "w.start", "w.win").join(
+    met = seen.select("id", "text_hash", "n_words", "pos", "len", "w.start", F.coalesce("w.win", F.col("text_hash").cast("string")).alias("win")).join(
         small(wins.select("win", "len", "items")), ["win", "len"], "left"
     )
     hit = F.when(F.col("items").isNotNull(), F.struct("start", "len"))
@@ -145,20 +146,21 @@ def decontaminate(
         raise ValueError("remove is documents, spans or both")
     bad = (F.size("items") >= min_items) | (F.size("hits") >= min_hit)
     found = contamination(docs, benchmark, doc_id, text).filter(bad if remove == "documents" else F.size("hits") > 0)
-    key, mine = fresh(docs, "_text_hash"), [F.col(f"`{c}`") for c in docs.columns]
+    key, of, their, its_hits, is_bad = (fresh(docs, c) for c in ("_text_hash", "_bad_id", "_bad_hash", "_bad_hits", "_bad"))
+    mine = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    met = found.select(F.col("id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"), F.col("hits").alias("_bad_hits"), bad.alias("_bad"))
-    on = keyed[doc_id].eqNullSafe(met["_bad_id"]) & (keyed[key] == met["_bad_hash"])
+    met = found.select(F.col("id").alias(of), F.col("text_hash").alias(their), F.col("hits").alias(its_hits), bad.alias(is_bad))
+    on = keyed[doc_id].eqNullSafe(met[of]) & (keyed[key] == met[their])
     if remove == "documents":
         return keyed.join(met, on, "left_anti").select(*mine)
     word, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"{gap}*{word}+"), F.lit(0))
     tail = F.regexp_extract(F.col(text), f"({gap}*)\\z", 1)
-    kept = F.filter(pieces, lambda _, i: ~F.array_contains(F.col("_bad_hits"), i))
-    cut = F.when(F.col("_bad_hits").isNull(), F.col(text)).otherwise(F.concat(F.array_join(kept, ""), tail))
+    kept = F.filter(pieces, lambda _, i: ~F.array_contains(F.col(its_hits), i))
+    cut = F.when(F.col(its_hits).isNull(), F.col(text)).otherwise(F.concat(F.array_join(kept, ""), tail))
     rows = keyed.join(met, on, "left")
     if remove == "both":
-        rows = rows.filter(F.col("_bad").isNull() | ~F.col("_bad"))
+        rows = rows.filter(F.col(is_bad).isNull() | ~F.col(is_bad))
     return rows.withColumn(text, cut).select(*mine)
 
 
