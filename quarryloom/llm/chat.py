@@ -8,7 +8,8 @@ shuffled for this; texts move once, for the conversations that stay.
 
 Nulls and odd rows: rows without conv_id or turn belong to no conversation and are left out; a null
 role or text counts as empty; rows that repeat wholly count once; rows that share a turn are ordered
-by role and text; markers of the template inside a text are broken up by spaces.
+by role and text; markers of the template inside a text or a role are broken up by spaces, so that neither
+can forge a turn; columns of any other name are left alone.
 """
 
 from __future__ import annotations
@@ -63,9 +64,9 @@ def maximal(conversations: DataFrame) -> DataFrame:
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """One row for each maximal conversation: conv_id, n_turns, copies, text (rendered)."""
-    safe = F.replace(F.replace("text", F.lit(START), F.lit("<| im_start |>")), F.lit(END), F.lit("<| im_end |>"))
+    safe = lambda c: F.replace(F.replace(c, F.lit(START), F.lit("<| im_start |>")), F.lit(END), F.lit("<| im_end |>"))
     turns = _turns(conversations).select(
-        "conv_id", F.struct("turn", F.xxhash64("role", "text").alias("h1"), F.xxhash64(F.lit("second"), "text", "role").alias("h2"), "role", safe.alias("text")).alias("t")
+        "conv_id", F.struct("turn", F.xxhash64("role", "text").alias("h1"), F.xxhash64(F.lit("second"), "text", "role").alias("h2"), safe("role").alias("role"), safe("text").alias("text")).alias("t")
     )
     kept = maximal(conversations)
     shown = F.transform(
@@ -93,7 +94,7 @@ k AS (SELECT * FROM g WHERE NOT EXISTS (
   SELECT 1 FROM g AS d WHERE len(d.m) > len(g.m) AND d.m[1:len(g.m)] = g.m)),
 r AS (
   SELECT conv_id, CAST(len(m) AS BIGINT) AS n_turns, copies,
-         array_to_string(list_transform(m, lambda e: '<|im_start|>' || e.r || chr(10) ||
+         array_to_string(list_transform(m, lambda e: '<|im_start|>' || replace(replace(e.r, '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') || chr(10) ||
            replace(replace(e.x, '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') || '<|im_end|>' || chr(10)), '') AS text
   FROM k)
 SELECT *, CAST(length(text) AS BIGINT) AS n_chars FROM r
