@@ -3,9 +3,9 @@
 Training: words of labelled documents get log-odds of the toxic against the clean class, with a
 Dirichlet prior (the corpus frequency of the word, PRIOR words in all, and half a word), as z-scores.
 A word is counted by the distinct pairs of neighbours it was seen between, not by its occurrences, so
-that a passage copied into many documents counts about once; the distinct pairs are estimated from a
-256-bit map (the occurrences count where the map is full). The LEXICON words of the largest z, of those with
-z >= LEAST_Z and log-odds >= LEAST_ODDS, score their log-odds; every other word scores -DRIFT.
+that a passage copied into many documents counts about once; the distinct pairs are estimated by one
+HyperLogLog sketch a word and class, however frequent the word is. All words with z >= LEAST_Z and log-odds
+>= LEAST_ODDS score their log-odds; every other word scores -DRIFT.
 
 Scoring: one linear scan finds all maximal-scoring segments of a text (Ruzzo and Tompa). A segment of
 score s in n words has the expected number E = K n exp(-lambda s) of chance segments as good in a clean
@@ -14,11 +14,12 @@ The best segment's -ln P, with P = 1 - exp(-E) the chance of one as good, goes t
 fitted on labelled documents that gave no words; segments with E <= SIGNIFICANT are its toxic passages.
 
 Training reads at most SAMPLE documents of each class, those of the smallest hash of doc_id, as the
-labels' bounded sample; class weights restore their proportion. The model is a few thousand numbers.
+labels' bounded sample; class weights restore their proportion. So the model, words of the sample, is bounded.
 
 Nulls and odd rows: a null or empty text has no words and the score of a clean text; labels that are
 null are ignored, and a doc_id with several labels is toxic if one says so; without labels of both
-classes the score is the share of toxic labels, 0 if there are none; a null doc_id is held out.
+classes the score is the share of toxic labels, 0 if there are none; a null doc_id is held out; new columns
+get a number at the end of their name where docs has one of that name.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryloom.llm.common import table, written
+from quarryloom.llm.common import fresh, table, written
 
-SAMPLE, LEXICON, LEAST_Z, LEAST_ODDS, PRIOR, DRIFT, SIGNIFICANT = 20_000, 20_000, 3.0, 1.0, 500.0, 0.5, 0.01
+SAMPLE, LEAST_Z, LEAST_ODDS, PRIOR, DRIFT, SIGNIFICANT = 20_000, 3.0, 1.0, 500.0, 0.5, 0.01
 MOST_SURPRISE = 40.0
 _WORD = re.compile(r"[^\W_]+")
-_BITS = 256
+#: Relative error of the sketches of distinct neighbours.
+_ERROR = 0.03
 
 
 def words(text: str | None) -> list[str]:
@@ -109,7 +111,7 @@ class Model(NamedTuple):
 
 
 def _word_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """toxic, text -> word, toxic, n, m0 .. m3: occurrences and the map of neighbour pairs, a batch at a time."""
+    """toxic, text -> word, toxic, near: each different pair of neighbours (its hash), a batch at a time."""
     for batch in batches:
         toxic = batch.column(0).to_numpy(zero_copy_only=False)
         for label in (0, 1):
@@ -120,34 +122,18 @@ def _word_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, uniques = pd.factorize(np.array([*flat, ""], dtype=object))
             crc = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in uniques], np.uint64)
             near = (crc[codes[:-2]] * np.uint64(0x9E3779B97F4A7C15)) ^ (crc[codes[2:]] * np.uint64(0xC2B2AE3D27D4EB4F))
-            bit = ((near ^ (near >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.int64)
             mid = codes[1:-1]
             real = mid != codes[0]
-            mid, bit = mid[real], bit[real]
-            n = np.bincount(mid, minlength=len(uniques))
-            seen = np.unique(mid * _BITS + bit)
-            maps = np.zeros((len(uniques), 4), np.uint64)
-            np.bitwise_or.at(maps, (seen // _BITS, seen % _BITS // 64), np.uint64(1) << (seen % 64).astype(np.uint64))
-            some = np.nonzero(n)[0]
-            cols = [pa.array(uniques[some], pa.string()), pa.array(np.full(len(some), label, np.int32)), pa.array(n[some])]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(maps[some, i].view(np.int64)) for i in range(4))], ["word", "toxic", "n", "m0", "m1", "m2", "m3"])
+            seen = pd.DataFrame({"word": mid[real], "near": near[real].view(np.int64)}).drop_duplicates()
+            cols = [pa.array(uniques[seen["word"].to_numpy()], pa.string()), pa.array(np.full(len(seen), label, np.int32)), pa.array(seen["near"].to_numpy())]
+            yield pa.RecordBatch.from_arrays(cols, ["word", "toxic", "near"])
 
 
 def _lexicon(train: DataFrame) -> tuple[dict[str, tuple[float, float]], float]:
     """word -> (log-odds, share among clean words); the clean share of all other words."""
-    maps = train.select("toxic", "text").mapInArrow(_word_maps, "word string, toxic int, n bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint")
-    is_toxic = F.col("toxic") == 1
-    per_word = maps.groupBy("word").agg(
-        *[F.sum(F.when(is_toxic == bool(y), F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)],
-        *[F.bit_or(F.when(is_toxic == bool(y), F.col(f"m{i}")).otherwise(0)).alias(f"m{y}{i}") for y in (0, 1) for i in range(4)],
-    )
-
-    def count(y: int) -> Column:
-        ones = F.bit_count(f"m{y}0") + F.bit_count(f"m{y}1") + F.bit_count(f"m{y}2") + F.bit_count(f"m{y}3")
-        seen = -_BITS * F.log((_BITS - ones) / _BITS)
-        return F.when(ones < _BITS, F.least(seen, F.col(f"n{y}").cast("double"))).otherwise(F.col(f"n{y}").cast("double"))
-
-    counted = written(per_word.select("word", count(0).alias("c0"), count(1).alias("c1")), "toxic-words")
+    pairs = train.select("toxic", "text").mapInArrow(_word_maps, "word string, toxic int, near bigint")
+    counts = [F.approx_count_distinct(F.when(F.col("toxic") == y, F.col("near")), _ERROR).cast("double").alias(f"c{y}") for y in (0, 1)]
+    counted = written(pairs.groupBy("word").agg(*counts), "toxic-words")
     sums = counted.agg(F.sum("c0"), F.sum("c1")).first()
     n0, n1 = sums[0] or 0.0, sums[1] or 0.0
     if not n0 or not n1:
@@ -156,7 +142,7 @@ def _lexicon(train: DataFrame) -> tuple[dict[str, tuple[float, float]], float]:
     a, b = F.col("c1") + prior, F.col("c0") + prior
     odds = F.log(a / (n1 + PRIOR - a)) - F.log(b / (n0 + PRIOR - b))
     scored = counted.select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), (b / (n0 + PRIOR)).alias("p"))
-    best = scored.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
+    best = scored.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).collect()
     lexicon = {r["word"]: (r["odds"], r["p"]) for r in best}
     return lexicon, max(1e-9, 1.0 - sum(p for _, p in lexicon.values()))
 
@@ -247,10 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False, passages: bool = False) -> DataFrame:
     """docs (without text, unless asked for) with score and n_passages (significant segments); passages=True
-    adds _passages: array of start, end (words), score, expected and the words themselves."""
+    adds passages: array of start, end (words), score, expected and the words themselves."""
     at = docs.columns.index(text)
     keep = [i for i in range(len(docs.columns)) if i != at or keep_text]
-    names = ["score", "n_passages", "passages"] if not keep_text else ["_score", "_n_passages", "_passages"]
+    names = [fresh(docs, n) for n in ("score", "n_passages", "passages")]
     long, double = T.LongType(), T.DoubleType()
     passage = T.StructType([T.StructField("start", long), T.StructField("end", long), T.StructField("score", double), T.StructField("expected", double), T.StructField("words", T.StringType())])
     new = [T.StructField(names[0], double), T.StructField(names[1], long), *([T.StructField(names[2], T.ArrayType(passage))] if passages else [])]
@@ -281,7 +267,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
 def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs, all columns kept, without those that score threshold or more."""
     scored = score(docs, train(docs, labels, doc_id, text), text, keep_text=True)
-    return scored.filter(F.col("_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored.filter(F.col(f"`{scored.columns[len(docs.columns)]}`") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
