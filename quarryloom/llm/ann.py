@@ -3,8 +3,9 @@
 A vector is represented by its PREFIX nearest of PIVOTS pivots, in order. Blocks of up to BLOCK vectors
 keep an inverted file for each pivot: which vectors list it, and at which rank. A query visits the files
 of its own pivots, which gives the footrule distance (the sum of rank differences, PREFIX where a pivot
-is missing) to every vector of the block; the nearest SHARE of the block by footrule (LEAST vectors at least), ties included, is
-reranked by cosine in double precision on the original vectors. share=1.0 is an exact search.
+is missing) to every vector of the block; the nearest by footrule, SHARE of the block and MORE for each
+neighbour asked for, ties included, are reranked by cosine in double precision on the original vectors.
+share=1.0 is an exact search.
 
 Pivots are the PIVOTS vectors of smallest hash: a bounded sample; every vector is indexed. Equal vectors
 are indexed once, with as many of their smallest ids as a result can name, so a vector that a third of
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.llm.common import table, written
 
-PIVOTS, PREFIX, SHARE, LEAST, BLOCK, CHUNK = 256, 32, 0.3, 200, 8192, 1024
+PIVOTS, PREFIX, SHARE, MORE, BLOCK, CHUNK = 256, 32, 0.3, 20, 8192, 1024
 
 
 def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -68,9 +69,9 @@ class PermutationBlock:
             out[self.who[a:b]] += np.abs(rank - r) - (self.k - rank) - (self.k - r)
         return out
 
-    def search(self, q: np.ndarray, prefix: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, prefix: np.ndarray, share: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of the candidates and their cosines with q."""
-        keep = max(LEAST, int(np.ceil(self.n * share)))
+        keep = int(np.ceil(self.n * share)) + MORE * k
         if keep < self.n:
             far = self.footrule(prefix)
             cand = np.nonzero(far <= np.partition(far, keep - 1)[keep - 1])[0]
@@ -155,7 +156,7 @@ def nearest(
                 keys = np.frombuffer(r.keys, np.int64).reshape(r.n, 2)
                 out = []
                 for q in range(r.n):
-                    cand, score = block.search(x[q], pre[q], share)
+                    cand, score = block.search(x[q], pre[q], share, k)
                     if len(cand) > k + 1:  # entries beyond the k + 1 best, ties kept, name no result
                         best = score >= np.partition(score, -k - 1)[-k - 1]
                         cand, score = cand[best], score[best]
