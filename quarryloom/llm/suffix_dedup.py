@@ -37,7 +37,7 @@ from quarryloom.llm.common import table, written
 
 LENGTH, GRAM = 200, 32
 HOT, PIECE = 1000, 8
-BATCH_BYTES, TASK_BYTES = 4 << 20, 8 << 20
+BATCH_BYTES, TASK_BYTES = 1 << 20, 8 << 20
 _SPAN = 1 << 20  # windows handled at a time; positions fit 21 bits
 _MIX, _BASE = np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
 
@@ -248,11 +248,13 @@ def _open_runs(keyed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, cols)], ["id", "th", "start", "n", "lead", "anchor", "content"])
 
     found = written(keyed.mapInArrow(emit, f"id {kind}, th bigint, start bigint, n bigint, lead bigint, anchor bigint, content bigint"), "runs")
-    per_anchor = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("met"), (F.min("content") != F.max("content")).alias("mixed")).filter("met > 1")
+    # what is counted by anchor is written before it is joined: a join with no aggregation in its tasks can
+    # split an anchor that many runs share
+    per_anchor = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("met"), (F.min("content") != F.max("content")).alias("mixed")).filter("met > 1"), "anchors")
     met = written(found.join(per_anchor.select("anchor", "mixed"), "anchor"), "met-runs")
     mixed = met.filter("mixed")
-    per_content = mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("id", "th", "start")).alias("first"))
-    hot = per_content.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).filter(F.col("contents") > HOT).select("anchor", F.lit(True).alias("hot"))
+    per_content = written(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("id", "th", "start")).alias("first")), "contents")
+    hot = written(per_content.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).filter(F.col("contents") > HOT).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
     told = mixed.join(per_content, ["anchor", "content"]).join(hot, "anchor", "left")
     cols = ["id", "th", "start", "n", "lead", "anchor"]
     return met.filter("not mixed").select(*cols, F.lit(True).alias("repeated"), F.lit(False).alias("index"), F.lit(False).alias("hot")).unionByName(
@@ -339,7 +341,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_
     contents = _contents(keyed, found).repartition(max(1, int(volume // TASK_BYTES) + 1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key")
     edges = written(_indexed(contents, batch_bytes), "repeated-edges")
     whole = found.filter("repeated").select("id", "th", F.col("start").alias("first"), (F.col("start") + edge).alias("last"))
-    return whole.unionByName(edges).groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return whole.unionByName(edges).groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def remove(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
