@@ -1,12 +1,18 @@
 """URL filtering: host and path rules, and boosted trees over lexical features for what no rule decides.
 
-The labelled URLs are those that a rule decides. From all of them come the smoothed block rates of
-host suffixes; gradient-boosted trees are then fitted on a bounded sample of them (SAMPLE rows, those
-with the smallest hash of the URL, so that reruns agree). Everything runs in the JVM.
+The labelled URLs are those that a rule decides. All of them give the block rates of host suffixes (the
+last one and the last two labels), smoothed towards the rate of all. A labelled URL's own rates leave out
+its fold, one of FOLDS by hash of the URL, so that the trees learn what a rate is worth on URLs that did
+not make it; the path that a rule names is in no rate. Gradient-boosted trees are
+then fitted on a bounded sample of the labelled URLs (SAMPLE rows, those with the smallest hash of the
+URL, so that reruns agree). Everything runs in the JVM.
+
+Verdicts of undecided URLs: block if the trees' probability is over one half, else allow; allow too where
+no labelled URL shares the suffix, as nothing was learnt about it.
 
 Nulls and odd rows: a null URL or one without `://` has an empty host and path and no rule; repeated
 rows are each judged; where no rule decides any row, or all labels agree, there is nothing to learn
-and the verdict is that label, or allow if there is none.
+and the verdict is that label, or allow if there is none; columns of any name may stand beside the URL.
 """
 
 from __future__ import annotations
@@ -27,8 +33,10 @@ RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
-#: Labelled URLs that the trees are fitted on, and host suffixes that keep a block rate of their own.
-SAMPLE, SUFFIXES = 8192, 10_000
+#: Labelled URLs that the trees are fitted on; folds; how many URLs the rate of all weighs in a suffix's.
+SAMPLE, FOLDS, PRIOR = 8192, 5, 4.0
+#: Suffixes whose rates may be broadcast (about 150 bytes each); beyond it the joins shuffle.
+BROADCAST_SUFFIXES = 100_000
 TREES = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.2, "maxBins": 32, "seed": 7}
 
 
@@ -81,42 +89,43 @@ def features(url: Column) -> dict[str, Column]:
     }
 
 
-def _suffix(n: int) -> Column:
-    """The last n labels of the host, and the path's first segment: what a block rate is kept for."""
-    return F.concat_ws("/", F.substring_index("host", ".", -n), F.substring_index(F.substring("path", 2, 64), "/", 1))
+def _with_rates(known: DataFrame) -> DataFrame:
+    """known (with _fold, and _block, null if no rule decides) with s1_rate, s2_rate and _seen (labelled URLs of the suffix)."""
+    labelled = known.filter(F.col("_block").isNotNull())
+    suffixes = {f"s{n}": F.substring_index("host", ".", -n) for n in (1, 2)}
+    per_fold = [F.struct(F.count(F.when(F.col("_fold") == k, 1)).alias("n"), F.coalesce(F.sum(F.when(F.col("_fold") == k, F.col("_block"))), F.lit(0.0)).alias("blocked")) for k in range(FOLDS)]
+    rates = written(
+        labelled.select("_fold", "_block", F.explode(F.array(*[F.concat_ws(" ", F.lit(s), c) for s, c in suffixes.items()])).alias("suffix"))
+        .groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("_block").alias("blocked"), F.array(*per_fold).alias("folds")),
+        "suffix-rates",
+    )
+    small = F.broadcast if rates.count() <= BROADCAST_SUFFIXES else (lambda df: df)
+    overall = labelled.agg(F.avg("_block")).first()[0] or 0.0
+    out = known.withColumn("_seen", F.lit(0).cast("long"))
+    for s, c in suffixes.items():
+        mine = out.withColumn("_suffix", F.concat_ws(" ", F.lit(s), c)).join(small(rates.toDF("_suffix", "_n", "_blocked", "_folds")), "_suffix", "left")
+        own = F.when(F.col("_block").isNotNull(), F.get("_folds", F.col("_fold")))
+        n = F.coalesce("_n", F.lit(0)) - F.coalesce(own["n"], F.lit(0))
+        blocked = F.coalesce("_blocked", F.lit(0.0)) - F.coalesce(own["blocked"], F.lit(0.0))
+        out = mine.withColumn(f"{s}_rate", (blocked + PRIOR * overall) / (n + PRIOR)).withColumn("_seen", F.col("_seen") + n).drop("_suffix", "_n", "_blocked", "_folds")
+    return out
 
 
-def judge(pages: DataFrame, url: str = "url", rules=RULES, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """keep, host, path, rule, verdict, score (the trees' probability of block; null without a model)."""
-    cut = pages.select(*[F.col(c) for c in keep], F.col(url).alias("_url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+def judge(pages: DataFrame, url: str = "url", rules=RULES, keep: tuple[str, ...] = ("page_id",), hold_out: bool = False) -> DataFrame:
+    """keep, host, path, rule, verdict, score (the trees' probability of block; null without a model). With
+    hold_out the labelled URLs of fold 0 teach nothing, so that their score can be held against their label."""
+    cut = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(url).alias("_url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     feats = features(F.col("_url"))
-    known = cut.withColumn("_d", decide(F.col("host"), F.col("path"), rules)).withColumns(
-        {"_s1": _suffix(1), "_s2": _suffix(2), "_block": (F.col("_d.verdict") == "block").cast("double")}
-    )
-    labelled = known.filter(F.col("_d").isNotNull())
-    # block rates of suffixes, smoothed towards one half; the most frequent SUFFIXES are kept
-    rates = written(
-        labelled.select(F.explode(F.array("_s1", "_s2")).alias("suffix"), "_block")
-        .groupBy("suffix")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("_block").alias("blocked"))
-        .orderBy(F.desc("n"), "suffix")
-        .limit(SUFFIXES)
-        .select("suffix", ((F.col("blocked") + 0.5) / (F.col("n") + 1.0)).alias("rate"), F.lit(True).alias("seen")),
-        "suffix-rates",
-    )
-    full = known
-    for s in ("_s1", "_s2"):
-        r = F.broadcast(rates.select(F.col("suffix").alias(s), F.col("rate").alias(f"{s}_rate"), F.col("seen").alias(f"{s}_seen")))
-        full = full.join(r, s, "left")
-    rate = {f"{s}_rate": F.coalesce(f"{s}_rate", F.lit(0.5)) for s in ("_s1", "_s2")}
-    full = full.withColumns(feats | rate)
-    names = [*feats, *rate]
+    told = cut.withColumn("_d", decide(F.col("host"), F.col("path"), rules)).withColumn("_fold", fold(F.col("_url")))
+    label = F.when(F.col("_d").isNotNull() & (F.lit(not hold_out) | (F.col("_fold") > 0)), (F.col("_d.verdict") == "block").cast("double"))
+    full = _with_rates(told.withColumn("_block", label)).withColumns(feats)
+    names = [*feats, "s1_rate", "s2_rate"]
     sample = written(
-        full.filter(F.col("_d").isNotNull()).select(*names, "_block", F.xxhash64("_url").alias("_h")).orderBy("_h", *names).limit(SAMPLE),
+        full.filter(F.col("_block").isNotNull()).select(*names, "_block", F.xxhash64("_url").alias("_h")).orderBy("_h", *names).limit(SAMPLE),
         "url-sample",
     )
     classes = [r[0] for r in sample.select("_block").distinct().collect()]
-    out = [*[F.col(c) for c in keep], "host", "path", F.col("_d.rule").alias("rule")]
+    out = [*[F.col(f"`{c}`") for c in keep], "host", "path", F.col("_d.rule").alias("rule")]
     if len(classes) < 2:
         only = "block" if classes == [1.0] else "allow"
         return full.select(*out, F.coalesce("_d.verdict", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
@@ -125,9 +134,13 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, keep: tuple[str, ...]
         vectors.transform(sample.coalesce(1))
     )
     scored = model.transform(vectors.transform(full)).withColumn("score", vector_to_array("_prob")[1])
-    verdict = F.coalesce("_d.verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
+    verdict = F.coalesce("_d.verdict", F.when((F.col("score") > 0.5) & (F.col("_seen") > 0), "block").otherwise("allow"))
     return scored.select(*out, verdict.alias("verdict"), "score")
 
 
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), url), F.lit(FOLDS)).cast("int")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
