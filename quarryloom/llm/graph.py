@@ -18,6 +18,19 @@ MAX_ROUNDS = 60
 ONE_TASK = 200_000
 
 
+def meetings(posts: DataFrame, name: str) -> DataFrame:
+    """posts: no, place. A table of those at places where more than one no is, with the place's lo and hi,
+    the least and the greatest no there. Dealt by place once; a place's size does not matter."""
+    dealt = posts.repartition("place")
+    hubs = dealt.groupBy("place").agg(F.min("no").alias("lo"), F.max("no").alias("hi")).filter(F.col("lo") < F.col("hi"))
+    return written(dealt.join(hubs, "place"), name)
+
+
+def stars(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every no of meetings() with its place's lo and hi: two at most a post."""
+    return met.select(F.col("no").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter(F.col("a") != F.col("b"))
+
+
 def _step(links: DataFrame, large: bool) -> DataFrame:
     """links: u > v. Large: every larger neighbour of a node goes to its smallest one; small: the smaller ones do."""
     near = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links

@@ -9,9 +9,17 @@ radius 1 of exactly one anchor. A fingerprint goes as itself to its own anchor,
 every anchor within the radius plus one (16 at most); so any linked pair meets at the anchor of either,
 and is compared in full there. Only distinct fingerprints are dealt out, so copies cost one row.
 
+dedup() removes documents, so it takes NEAR = 5 words a shingle and asks for a Jaccard similarity of 0.8 of
+the sets of shingles, counted exactly. Two documents just as similar differ in about ten bits, far beyond
+what anchors can cover, so next to the pairs of the covering code it compares documents that share one of
+their SKETCH least shingle hashes: each with the first and the last document that has it. Pairs whose
+sketches differ too much for the similarity are left out before texts move.
+
 Nulls and odd rows: a null or wordless text has fingerprint zero and is linked like any other; a text of
-fewer than three words is one shingle; repeated rows are each reported; a null doc_id takes part, and
-is never a component's id unless the component has no other.
+fewer words than a shingle is one shingle; repeated rows are each reported; a null doc_id takes part, and
+is never a component's id unless the component has no other. dedup() judges rows by doc_id and text, so rows
+that share a doc_id but not the text are told apart, rows without a doc_id go as others do, and of rows
+equal in both one stays; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -25,23 +33,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryloom.llm.common import table, written
-from quarryloom.llm.graph import components
+from quarryloom.llm.common import fresh, table, written
+from quarryloom.llm.graph import components, meetings, stars
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
+#: Of dedup(): words of a shingle, similarity, hashes of a sketch, and how far the sketches' estimate may be off.
+NEAR, SIMILARITY, SKETCH, SLACK = 5, 0.8, 24, 0.35
 
 
-def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
-    """Of UTF-8 bytes, as a signed 64-bit number. bytes.lower and bytes.split know ASCII only, as asked."""
+def shingles(text: bytes | None, n: int) -> np.ndarray:
+    """Hashes of the shingles of UTF-8 bytes. bytes.lower and bytes.split know ASCII only, as asked."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
-    grams = list(map(b" ".join, zip(*(words[i:] for i in range(n))))) if len(words) >= n else [b" ".join(words)]
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(n)))) if len(words) >= n else [b" ".join(words)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit number."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(grams), 4096):
-        h = np.fromiter(map(xxhash.xxh64_intdigest, grams[at : at + 4096], repeat(SEED)), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.int64)[0])
+    for at in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
+    return majority(shingles(text, n))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,13 +123,71 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return all_fps.join(named, "fp").select("id", "fp", "component")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns kept, with one document of each component: the one of the smallest id. Rows
-    without an id stay; of rows that share the id of a component, one stays."""
-    found = groups(docs, doc_id, text)
-    gone = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
-    return kept.filter(F.col(doc_id).isNull()).unionByName(kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
+def _sketches(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """no (a number), h1 and h2 (hash of the text), keep (no id or not, least id), fp and least (sketch) of each different text."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, least = [], []
+            for t in batch.column(3):
+                h = shingles(t.as_py(), shingle)
+                fps.append(majority(h))
+                least.append(np.unique(h)[:SKETCH].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["id", "h1", "h2", "fp", "least"])
+
+    cut = _hashed(docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text")), "text").select("id", "h1", "h2", "text")
+    kind = cut.schema["id"].dataType.simpleString()
+    rows = cut.mapInArrow(of, f"id {kind}, h1 bigint, h2 bigint, fp bigint, least array<bigint>")
+    one = rows.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("keep"), F.first("fp").alias("fp"), F.first("least").alias("least"))
+    return one.withColumn("no", F.monotonically_increasing_id())
+
+
+def _hashed(rows: DataFrame, text: str, h1: str = "h1", h2: str = "h2") -> DataFrame:
+    whole = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit("").cast("binary"))
+    return rows.withColumns({h1: F.xxhash64(whole), h2: F.xxhash64(F.lit(1), whole)})
+
+
+def similar(docs: DataFrame, texts: DataFrame, text: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of numbers of texts (as _sketches gives them) whose similarity suffices, of those compared."""
+    heads = texts.groupBy("fp").agg(F.min("no").alias("head"))
+    alike = texts.join(heads, "fp").select(F.col("no").alias("a"), F.col("head").alias("b"))
+    near = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    shared = stars(meetings(texts.select("no", F.explode("least").alias("place")), "near-met"))
+    every = alike.unionByName(near).unionByName(shared).filter(F.col("a") != F.col("b"))
+    pairs = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sketch = texts.select("no", "least")
+    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
+    both = pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").withColumn("u", union)
+    guess = F.size(F.array_intersect(F.array_intersect("u", "x"), "y")) / F.greatest(F.size("u"), F.lit(1))
+    likely = written(both.filter((F.size("u") == 0) | (guess >= similarity - SLACK)).select("a", "b"), "near-pairs")
+    known = texts.select("no", "h1", "h2").join(likely.select(F.explode(F.array("a", "b")).alias("no")).distinct(), "no")
+    whole = _hashed(docs.select(F.col(f"`{text}`").cast("binary").alias("text")), "text").join(known, ["h1", "h2"]).groupBy("no").agg(F.first("text").alias("text"))
+    whole = written(whole, "near-texts")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                s, t = (np.unique(shingles(v.as_py(), shingle)) for v in (x, y))
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                ok.append(common >= similarity * (len(s) + len(t) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    met = likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return written(met.mapInArrow(verify, "a bigint, b bigint"), "near-links")
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY) -> DataFrame:
+    """docs, all columns kept, with one row of each group of near copies: that of the smallest id."""
+    texts = written(_sketches(docs, doc_id, text, shingle), "near-sketches")
+    comp = components(similar(docs, texts, text, shingle, similarity)).withColumnRenamed("node", "no")
+    rooted = texts.join(comp, "no", "left").withColumn("root", F.coalesce("root", "no"))
+    first = rooted.groupBy("root").agg(F.min(F.struct("keep", "h1", "h2")).alias("first"))
+    k1, k2, of, t1, t2 = (fresh(docs, c) for c in ("_h1", "_h2", "_keep_id", "_keep_h1", "_keep_h2"))
+    kept = first.select(F.col("first.keep.id").alias(of), F.col("first.h1").alias(t1), F.col("first.h2").alias(t2))
+    keyed = _hashed(docs, text, k1, k2)
+    on = keyed[k1].eqNullSafe(kept[t1]) & keyed[k2].eqNullSafe(kept[t2]) & keyed[doc_id].eqNullSafe(kept[of])
+    return keyed.join(kept, on, "left_semi").dropDuplicates([k1, k2]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
