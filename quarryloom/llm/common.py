@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 _scopes: list[Scope] = []
@@ -28,6 +29,11 @@ class Scope:
     def __exit__(self, *_) -> None:
         _scopes.remove(self)
 
+    def read_by(self, df: DataFrame) -> bool:
+        """Whether df reads one of the tables, so that they have to stay."""
+        mine = [path.split("/")[-1] for _, path in self.tables]
+        return bool(mine) and any(name in f for f in df.inputFiles() for name in mine)
+
     def remove(self) -> None:
         """Only once what was made of the tables is written elsewhere."""
         _remove(self.tables)
@@ -72,7 +78,13 @@ def written(df: DataFrame, name: str, rows: int | None = None, **options: str) -
     _written.append((spark, path))
     for scope in _scopes[-1:]:
         scope.tables.append((spark, path))
-    df.write.options(**options).parquet(path)
+    # what is shuffled for a table that is written is of no more use: its files go when the write ends
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
