@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryloom.functions.text import BLANK, SPACE, estimate_tokens, excerpt, strip_links, trim
+from quarryloom.functions.text import BLANK, SPACE, bound, estimate_tokens, excerpt, strip_links, trim
 
 _FENCED = rf"(?dms)^[{BLANK}]*```.*?(?:^[{BLANK}]*```[^\n]*|\z)"
 _CUT = "\x01\x02\x01"
@@ -29,14 +29,16 @@ def _woven(around: Column, fences: Column) -> Column:
 def blocks(markdown: Column) -> Column:
     """array of the blocks' texts."""
     around, fences = _parts(markdown)
-    last = F.size(around) - 1
 
-    def cut(part: Column, i: Column) -> Column:
-        start = F.when(i == 0, F.regexp_replace(part, rf"\A[{SPACE}]*\n", "")).otherwise(part)
-        end = F.when(i == last, F.regexp_replace(start, rf"\n[{SPACE}]*\z", "")).otherwise(start)
-        return F.regexp_replace(end, rf"\n[{SPACE}]*\n", _CUT)
+    def parted(parts: Column) -> Column:
+        def cut(part: Column, i: Column) -> Column:
+            start = F.when(i == 0, F.regexp_replace(part, rf"\A[{SPACE}]*\n", "")).otherwise(part)
+            end = F.when(i == F.size(parts) - 1, F.regexp_replace(start, rf"\n[{SPACE}]*\z", "")).otherwise(start)
+            return F.regexp_replace(end, rf"\n[{SPACE}]*\n", _CUT)
 
-    found = F.split(_woven(F.transform(around, cut), fences), _CUT)
+        return F.transform(parts, cut)
+
+    found = F.split(_woven(bound(around, parted), fences), _CUT)
     return F.filter(F.transform(found, lambda b: F.regexp_replace(b, r"\n+\z", "")), lambda b: trim(b) != "")
 
 
@@ -54,7 +56,10 @@ def paginate(measured_blocks: Column, max_tokens: int, page: Column) -> Column:
 
     A page is closed before a block that would exceed the budget, and before a heading once FILL of it is
     used; a block is never split."""
-    budget = max(1, max_tokens)
+    return bound(measured_blocks, lambda m: _paginate(m, max(1, max_tokens), page))
+
+
+def _paginate(measured_blocks: Column, budget: int, page: Column) -> Column:
     zero = F.struct(F.lit(1).alias("page"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("any"))
 
     def step(a: Column, b: Column) -> Column:
@@ -76,8 +81,10 @@ def paginate(measured_blocks: Column, max_tokens: int, page: Column) -> Column:
 
     def told(a: Column) -> Column:
         content = F.coalesce(a["text"], F.lit(""))
-        tokens = estimate_tokens(content)
-        return F.struct(content.alias("content"), a["shown"].alias("page"), a["total"].alias("total_pages"), tokens.alias("tokens"), (tokens > budget).alias("exceeded_budget"))
+        return bound(
+            estimate_tokens(content),
+            lambda tokens: F.struct(content.alias("content"), a["shown"].alias("page"), a["total"].alias("total_pages"), tokens.alias("tokens"), (tokens > budget).alias("exceeded_budget")),
+        )
 
     return F.aggregate(measured_blocks, start, collect, told)
 

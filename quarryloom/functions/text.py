@@ -6,6 +6,8 @@ Lengths are code points throughout. White space is the class of ECMAScript, spel
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,12 @@ PUNCTUATION_WEIGHT, LETTER_WEIGHT, LINK_WEIGHT = 40.0, 1.0, 5.0
 EXCERPT_CHARS = 80
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once: an expression is computed as often as it is named, an element of
+    an array is not."""
+    return F.transform(F.array(value), then)[0]
+
+
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -43,14 +51,18 @@ def estimate_tokens(text: Column) -> Column:
 
 def block_score(text: Column, link_text: Column) -> Column:
     """struct(punctuation_density, letter_ratio, link_density, score): prose scores 0 or more, menus less."""
-    body, links = trim(text), trim(link_text)
-    n = F.length(body).cast("double")
-    some = lambda c: F.when(n > 0, c).otherwise(F.lit(0.0))
-    marks = some(count(body, PUNCTUATION) / n)
-    letters = some(count(body, r"[\p{L}\p{M}]") / n)
-    linked = some(F.least(F.length(links) / n, F.lit(1.0)))
-    score = marks * PUNCTUATION_WEIGHT + letters * LETTER_WEIGHT - linked * LINK_WEIGHT
-    return F.struct(marks.alias("punctuation_density"), letters.alias("letter_ratio"), linked.alias("link_density"), score.alias("score"))
+
+    def shares(b: Column) -> Column:
+        body, n = b["body"], F.length(b["body"]).cast("double")
+        some = lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0))
+        linked = F.least(some(F.length(b["links"])), F.lit(1.0))
+        return F.struct(some(count(body, PUNCTUATION)).alias("m"), some(count(body, r"[\p{L}\p{M}]")).alias("l"), linked.alias("k"))
+
+    def scored(s: Column) -> Column:
+        score = s["m"] * PUNCTUATION_WEIGHT + s["l"] * LETTER_WEIGHT - s["k"] * LINK_WEIGHT
+        return F.struct(s["m"].alias("punctuation_density"), s["l"].alias("letter_ratio"), s["k"].alias("link_density"), score.alias("score"))
+
+    return bound(bound(F.struct(trim(text).alias("body"), trim(link_text).alias("links")), shares), scored)
 
 
 def content_hash(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryloom.functions.markdown import blocks
-from quarryloom.functions.text import content_hash, trim
+from quarryloom.functions.text import bound, content_hash, trim
 
 RECENT_PAGES = 3
 
@@ -33,13 +33,17 @@ def template_hashes(pages: DataFrame, recent: int = RECENT_PAGES) -> DataFrame:
 
 def remove_template(docs: DataFrame, templates: DataFrame, markdown: str = "markdown") -> DataFrame:
     """docs (with domain) with shown (the blocks that are no template, joined by a blank line) and removed.
-    Where the domain has no templates the text stays as it is."""
+    Where the domain has no templates the text stays as it is.
+
+    A domain's templates are blocks that each of its latest pages has, so their set is no larger than a page.
+    The join has no aggregation on the side of docs, so Spark can split a domain that most pages share, or
+    broadcast the templates where they are few."""
     known = templates.groupBy("domain").agg(F.collect_set("hash").alias("_known"))
-    found = blocks(F.col(markdown))
-    kept = F.filter(found, lambda b: ~F.array_contains("_known", content_hash(trim(b))))
-    return (
-        docs.join(known, "domain", "left")
-        .withColumn("shown", F.when(F.col("_known").isNull(), F.col(markdown)).otherwise(F.array_join(kept, "\n\n")))
-        .withColumn("removed", F.when(F.col("_known").isNull(), 0).otherwise(F.size(found) - F.size(kept)).cast("long"))
-        .drop("_known")
-    )
+
+    def cut(found: Column) -> Column:
+        kept = F.filter(found, lambda b: ~F.array_contains("_known", content_hash(trim(b))))
+        return bound(kept, lambda k: F.struct(F.array_join(k, "\n\n").alias("shown"), (F.size(found) - F.size(k)).cast("long").alias("removed")))
+
+    whole = F.struct(F.col(markdown).alias("shown"), F.lit(0).cast("long").alias("removed"))
+    told = docs.join(known, "domain", "left").withColumn("_cut", F.when(F.col("_known").isNull(), whole).otherwise(bound(blocks(F.col(markdown)), cut)))
+    return told.withColumns({"shown": F.col("_cut.shown"), "removed": F.col("_cut.removed")}).drop("_known", "_cut")
