@@ -68,11 +68,16 @@ def score_block(text: str, link_text: str) -> float:
 def prune(root: Node) -> int:
     """Drops menus and blocks that read like link lists; how many, without those inside a dropped one.
 
-    nav, footer and form always go; header and aside unless in an article, section or main; then, children
-    before parents, div, section, ul and ol of PRUNE_CHARS or more whose score is negative."""
+    nav, footer and form always go; header and aside unless in an article, section or main, where they stay as
+    they are with all that is in them; then, children before parents, div, section, ul and ol of PRUNE_CHARS or
+    more whose score is negative."""
     dropped: dict[int, int] = {}  # element -> drops below it, which its own drop replaces
     count = 0
+    spared = {id(n) for n in root.below() if n.tag in ("header", "aside") and n.within(("article", "section", "main"))}
+    apart = {id(n) for n in root.below() if any(id(a) in spared for a in n.ancestors())} | spared
     for n in list(root.below()):
+        if id(n) in apart:
+            continue
         if n.tag in ("nav", "footer", "form") or (n.tag in ("header", "aside") and not n.within(("article", "section", "main"))):
             if all(id(a) not in dropped for a in n.ancestors()):
                 dropped[id(n)] = 0
@@ -87,7 +92,7 @@ def prune(root: Node) -> int:
         inner = below.pop(id(n), 0)
         parent = id(n.parent)
         bad = False
-        if n.tag in ("div", "section", "ul", "ol"):
+        if id(n) not in apart and n.tag in ("div", "section", "ul", "ol"):
             text = n.text()
             bad = len(text.strip()) >= PRUNE_CHARS and score_block(text, "".join(a.text() for a in n.find_all("a"))) < 0
         below[parent] = below.get(parent, 0) + (1 if bad else inner)

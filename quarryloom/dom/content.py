@@ -133,12 +133,15 @@ class Extracted(NamedTuple):
     pruned: int
     stats: dict[str, float]
     error_code: str | None
+    links: list[tuple[str, str | None, int]] = []
 
 
-def extract(html: str | None, url: str | None, selector: str | None = None, geometry_ids: list[str] | None = None, geometry_chars: int = 0) -> Extracted:
-    """geometry_ids: data-gid values of a rendered page's main column, geometry_chars its text length."""
+def extract(html: str | None, url: str | None, selector: str | None = None, geometry_ids: list[str] | None = None, geometry_chars: int = 0, links: bool = False) -> Extracted:
+    """geometry_ids: data-gid values of a rendered page's main column, geometry_chars its text length;
+    links: of the whole page, too."""
     root = parse(html)
     body = body_of(root)
+    listed = links_below(root, url) if links else []
     titles = root.find_all("title")
     title = tables.squeeze(titles[0].text()) if titles else ""
     clean.strip_styles(root)
@@ -150,7 +153,7 @@ def extract(html: str | None, url: str | None, selector: str | None = None, geom
     if selector:
         found = select(root, selector)
         if not found:
-            return Extracted(title or None, None, None, None, 0, stats, "EXTRACTION_FAILED")
+            return Extracted(title or None, None, None, None, 0, stats, "EXTRACTION_FAILED", listed)
         for n in found:
             holder.append(copy_tree(n))
             holder.append("\n")
@@ -179,7 +182,7 @@ def extract(html: str | None, url: str | None, selector: str | None = None, geom
         pruned, method = clean.prune(holder), "body-fallback"
     tables.normalise_all(holder)
     clean.strip_noscript(holder)
-    return Extracted(title or None, normalise_cjk(to_markdown(holder)), method, adapter, pruned, stats, None)
+    return Extracted(title or None, normalise_cjk(to_markdown(holder)), method, adapter, pruned, stats, None, listed)
 
 
 def spa_statistics(html: str | None) -> tuple[str | None, int, str, int, int]:
@@ -196,8 +199,23 @@ def spa_statistics(html: str | None) -> tuple[str | None, int, str, int, int]:
 
 def page_links(html: str | None, base: str | None) -> list[tuple[str, str | None, int]]:
     """url, title, position of the links in a page: http(s) only, first of each url."""
+    return links_below(parse(html), base)
+
+
+def feed_link(html: str | None, base: str | None) -> str | None:
+    """The first feed that a page's head names, RSS or Atom."""
+    for n in parse(html).find_all("link"):
+        if n.get("rel").lower() == "alternate" and n.get("type").lower() in ("application/rss+xml", "application/atom+xml") and n.get("href"):
+            try:
+                return urljoin(base or "", n.get("href").strip())
+            except ValueError:
+                return None
+    return None
+
+
+def links_below(root: Node, base: str | None) -> list[tuple[str, str | None, int]]:
     out: dict[str, tuple[str, str | None, int]] = {}
-    for a in parse(html).find_all("a"):
+    for a in root.find_all("a"):
         href = a.get("href").strip()
         if not href or href.startswith("#") or href.lower().startswith("javascript:"):
             continue
