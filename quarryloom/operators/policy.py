@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryloom.functions.urls import is_html_type, origin, pathname
+from quarryloom.functions.urls import is_html_type, is_http, origin, pathname
 
 TTL_MS, MIN_INTERVAL_MS = 15 * 60 * 1000, 1000  # fixed values
 MAX_REDIRECTS, BODY_CAP, PREVIEW_CAP = 5, 20 * 1024 * 1024, 256 * 1024
@@ -30,19 +33,36 @@ def is_fresh(fetched_at: Column, now: Column, ttl: int = TTL_MS) -> Column:
     return F.coalesce(now - fetched_at < ttl, F.lit(False))
 
 
-def cache_replay(requests: DataFrame, url: str, at: str, tie: str, ttl: int = TTL_MS) -> DataFrame:
+def cache_replay(requests: DataFrame, url: str, at: str, tie: str, ttl: int = TTL_MS, not_modified: str | None = None) -> DataFrame:
     """url, pos, at, tie, status of every request: fresh while less than ttl has passed since the last fetch,
-    else it is fetched again. It is a recurrence over fetches, not requests, so a url's requests are folded."""
-    events = requests.groupBy(url).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie")))).alias("_e"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("fresh"))
-
-    def step(a: Column, e: Column) -> Column:
-        fresh = F.coalesce(e["at"] - a["last"] < ttl, F.lit(False))
-        return F.struct(F.when(fresh, a["last"]).otherwise(e["at"]).alias("last"), F.concat(a["fresh"], F.array(fresh)).alias("fresh"))
-
-    told = F.aggregate("_e", zero, step, lambda a: a["fresh"])
-    rows = events.select(url, F.posexplode(F.arrays_zip(F.col("_e"), told.alias("fresh"))).alias("pos", "r"))
-    return rows.select(url, "pos", F.col("r._e.at").alias("at"), F.col("r._e.tie").alias("tie"), F.when(F.col("r.fresh"), "fresh").otherwise("miss").alias("status"))
+    else it is fetched again: a miss. not_modified: a column that says that the server answers 304: what is
+    cached is then revalidated; where nothing is, that is an error and nothing is kept.
+
+    It is a recurrence over fetches that no window states, so a url's requests go through one task in order;
+    the task holds the last fetch only, however many they are."""
+    said = F.coalesce(F.col(not_modified), F.lit(False)) if not_modified else F.lit(False)
+    rows = requests.select(url, F.col(at).cast("long").alias("at"), F.col(tie).alias("tie"), said.alias("_304"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, key, last, pos = False, None, None, 0
+        for batch in batches:
+            places, states = [], []
+            for u, t, modified in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                if not begun or u != key:
+                    begun, key, last, pos = True, u, None, 0
+                fresh = t is not None and last is not None and t - last < ttl
+                state = "fresh" if fresh else "miss" if not modified else "error" if last is None else "revalidated"
+                if state in ("miss", "revalidated"):
+                    last = t
+                places.append(pos)
+                states.append(state)
+                pos += 1
+            cols = [batch.column(0), pa.array(places, pa.int32()), batch.column(1), batch.column(2), pa.array(states, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, [url, "pos", "at", "tie", "status"])
+
+    dealt = rows.repartition(url).sortWithinPartitions(url, "at", "tie")
+    return dealt.mapInArrow(replay, f"`{url}` {kinds[url]}, pos int, at bigint, tie {kinds['tie']}, status string")
 
 
 def route(responses: DataFrame, body_cap: int = BODY_CAP, preview_cap: int = PREVIEW_CAP) -> DataFrame:
@@ -64,23 +84,40 @@ def route(responses: DataFrame, body_cap: int = BODY_CAP, preview_cap: int = PRE
     )
 
 
+def failure(url: Column, allowed: Column, address_reserved: Column, elapsed_ms: Column, timeout_ms: int, status: Column, cached: Column, code: Column) -> Column:
+    """error_code of a captured fetch, or null: the first check that fails, in the order in which a fetch meets
+    them. allowed: by robots; address_reserved: of the resolved address; code: what routing found."""
+    return (
+        F.when(~is_http(url), "INVALID_URL")
+        .when(~F.coalesce(allowed, F.lit(True)), "ROBOTS_DENIED")
+        .when(F.coalesce(address_reserved, F.lit(False)), "PRIVATE_ADDRESS_DENIED")
+        .when(F.coalesce(elapsed_ms >= timeout_ms, F.lit(False)), "FETCH_TIMEOUT")
+        .when(status.isNull(), "NETWORK_ERROR")
+        .when((status == 304) & ~F.coalesce(cached, F.lit(False)), "UNEXPECTED_NOT_MODIFIED")
+        .otherwise(code)
+    )
+
+
 def resolve_redirects(starts: DataFrame, hops: DataFrame, limit: int = MAX_REDIRECTS) -> DataFrame:
     """starts: url; hops: url, status, location (absolute or null) of each captured response -> url,
-    final_url, n_hops, status, error_code. Status 310 after limit hops; a redirect without location fails."""
+    final_url, n_hops, status, error_code. Status 310 after limit hops; a redirect without location fails. Where
+    hops has allowed (by robots, of its own url), a hop to another origin that is not allowed is ROBOTS_DENIED."""
+    hops = hops if "allowed" in hops.columns else hops.withColumn("allowed", F.lit(True))
     redirect = F.col("h.status").isin(301, 302, 303, 307, 308)
     now = starts.select("url", F.col("url").alias("final_url"), F.lit(0).alias("n_hops"), F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("error_code"), F.lit(False).alias("done"))
     for _ in range(limit + 1):
         met = now.alias("s").join(hops.alias("h"), (F.col("s.final_url") == F.col("h.url")) & ~F.col("s.done"), "left")
         seen = F.col("h.url").isNotNull()
-        on = seen & redirect & F.col("h.location").isNotNull()
+        denied = seen & (F.col("s.n_hops") > 0) & ~F.coalesce("h.allowed", F.lit(True)) & ~origin(F.col("s.final_url")).eqNullSafe(origin(F.col("s.url")))
+        on = seen & ~denied & redirect & F.col("h.location").isNotNull()
         over = on & (F.col("s.n_hops") >= limit)
         go = on & ~over
         now = met.select(
             F.col("s.url").alias("url"),
             F.when(go, F.col("h.location")).otherwise(F.col("s.final_url")).alias("final_url"),
             F.when(go, F.col("s.n_hops") + 1).otherwise(F.col("s.n_hops")).alias("n_hops"),
-            F.when(F.col("s.done"), F.col("s.status")).when(over, 310).when(go, F.lit(None).cast("int")).otherwise(F.col("h.status")).alias("status"),
-            F.when(F.col("s.done"), F.col("s.error_code")).when(over | (seen & redirect & F.col("h.location").isNull()), "HTTP_STATUS_ERROR").when(~seen, "NETWORK_ERROR").alias("error_code"),
+            F.when(F.col("s.done"), F.col("s.status")).when(denied, F.lit(None).cast("int")).when(over, 310).when(go, F.lit(None).cast("int")).otherwise(F.col("h.status")).alias("status"),
+            F.when(F.col("s.done"), F.col("s.error_code")).when(denied, "ROBOTS_DENIED").when(over | (seen & redirect & F.col("h.location").isNull()), "HTTP_STATUS_ERROR").when(~seen, "NETWORK_ERROR").alias("error_code"),
             (F.col("s.done") | ~go).alias("done"),
         )
     return now.drop("done")
