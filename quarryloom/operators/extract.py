@@ -19,6 +19,9 @@ EXTRACTED = T.StructType([
 ])
 
 
+LINKS = T.ArrayType(T.StructType([T.StructField("url", _S), T.StructField("title", _S), T.StructField("pos", _L)]))
+
+
 def _mapped(df: DataFrame, fields: list[T.StructField], columns: list[str], make) -> DataFrame:
     """df with new fields; make turns the values of columns into a row of them."""
     keep = list(df.columns)
@@ -48,6 +51,16 @@ def extract_markdown(pages: DataFrame, html: str = "html", url: str = "url", sel
     return _mapped(pages, list(EXTRACTED.fields), [html, url], one)
 
 
+def extract_with_links(pages: DataFrame, html: str = "html", url: str = "url", selector: str | None = None) -> DataFrame:
+    """extract_markdown with one field more, links: array of url, title, pos. A page is parsed once for both."""
+
+    def one(h, u):
+        e = C.extract(h, u, selector, links=True)
+        return (e.title, e.markdown, e.method, e.adapter, e.pruned, e.error_code, *(float(e.stats[s]) for s in STATS), [dict(zip(("url", "title", "pos"), x)) for x in e.links])
+
+    return _mapped(pages, [*EXTRACTED.fields, T.StructField("links", LINKS)], [html, url], one)
+
+
 def extract_with_geometry(pages: DataFrame, html: str = "html", url: str = "url", ids: str = "block_ids", chars: str = "text_length") -> DataFrame:
     def one(h, u, i, n):
         e = C.extract(h, u, None, i, n or 0)
@@ -58,12 +71,21 @@ def extract_with_geometry(pages: DataFrame, html: str = "html", url: str = "url"
 
 def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """pages (without html) with url, title, pos, source of each of its links, as link_url and so on."""
-    link = T.ArrayType(T.StructType([T.StructField("url", _S), T.StructField("title", _S), T.StructField("pos", _L)]))
-    told = _mapped(pages, [T.StructField("_links", link)], [html, url], lambda h, u: ([dict(zip(("url", "title", "pos"), x)) for x in C.page_links(h, u)],))
+    told = _mapped(pages, [T.StructField("_links", LINKS)], [html, url], lambda h, u: ([dict(zip(("url", "title", "pos"), x)) for x in C.page_links(h, u)],))
     mine = [c for c in pages.columns if c != html]
     return told.select(*mine, F.explode("_links").alias("_l")).select(*mine, F.col("_l.url").alias("link_url"), F.col("_l.title").alias("link_title"), F.col("_l.pos").alias("link_pos"))
 
 
+def page_sources(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """url, feed (that the page names, or null) and links (array of url, title, pos) of every page."""
+
+    def one(h, u):
+        return C.feed_link(h, u), [dict(zip(("url", "title", "pos"), x)) for x in C.page_links(h, u)]
+
+    told = _mapped(pages.select(url, html), [T.StructField("feed", _S), T.StructField("links", LINKS)], [html, url], one)
+    return told.select(F.col(url).alias("url"), "feed", "links")
+
+
 def spa_statistics(pages: DataFrame, html: str = "html") -> DataFrame:
     fields = [T.StructField("root_id", _S), T.StructField("root_chars", _L), T.StructField("noscript", _S), T.StructField("html_chars", _L), T.StructField("text_chars", _L)]
     return _mapped(pages, fields, [html], C.spa_statistics)
