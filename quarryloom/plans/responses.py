@@ -100,17 +100,6 @@ def response_links(spark, sf):
 
 @query(
     "response_handoff",
-    f"""WITH d AS (SELECT doc_id, text, ['text/plain', 'application/zip', NULL][doc_id % 3 + 1] AS ct, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 4) * 100 END AS declared FROM documents WHERE {sql_tokens('text')} <= 400)
-    SELECT doc_id, 'content_type: ' || coalesce(ct, '(不明)') || chr(10) || 'size: ' || coalesce(declared || '', strlen(text) || '(取得分。Content-Lengthヘッダ無し)') || chr(10) || 'url: https://e/f''' || doc_id || '.txt' || chr(10) || 'mode_used: handoff'
-      || CASE WHEN ct = 'text/plain' AND coalesce(declared <= 200, true) THEN chr(10) || chr(10) || text ELSE '' END
-      || chr(10) || chr(10) || 'hint: このファイルは本文抽出対象外です。全体の取得は curl -L -o f_' || doc_id || '.txt ''https://e/f''\\''''' || doc_id || '.txt'' を推奨します' AS response FROM d""",
-)
-def response_handoff(spark, sf):
-    return _handoffs(table(spark, sf, "documents").filter(estimate_tokens(F.col("text")) <= 400))
-
-
-@query(
-    "response_handoff_all",
     f"""WITH d AS (SELECT doc_id, text, {sql_tokens('text')} > 400 AS over, ['text/plain', 'application/zip', NULL][doc_id % 3 + 1] AS ct, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 4) * 100 END AS declared FROM documents),
     c AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, text FROM d WHERE over AND ct = 'text/plain' AND coalesce(declared <= 200, true)), h AS (SELECT doc_id, i, substr(text, CAST(i AS INT), 1) AS ch FROM c),
     r AS (SELECT doc_id, i, sum(CASE WHEN regexp_matches(ch, '{CJ}') THEN 1 ELSE 0 END) OVER w AS cjk, sum(CASE WHEN regexp_matches(ch, '{CJ}') OR regexp_matches(ch, '{SP}') THEN 0 ELSE 1 END) OVER w AS other FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
@@ -119,8 +108,8 @@ def response_handoff(spark, sf):
       || CASE WHEN ct = 'text/plain' AND coalesce(declared <= 200, true) THEN chr(10) || chr(10) || CASE WHEN over THEN left(text, most) || chr(10) || chr(10) || '({BUDGET_NOTE})' ELSE text END ELSE '' END
       || chr(10) || chr(10) || 'hint: このファイルは本文抽出対象外です。全体の取得は curl -L -o f_' || doc_id || '.txt ''https://e/f''\\''''' || doc_id || '.txt'' を推奨します' AS response FROM d LEFT JOIN m USING (doc_id)""",
 )
-def response_handoff_all(spark, sf):
-    """response_handoff over all documents: longer ones are cut to the budget, with its note."""
+def response_handoff(spark, sf):
+    """Of all documents: longer ones are cut to the budget, with its note."""
     return _handoffs(table(spark, sf, "documents"))
 
 
