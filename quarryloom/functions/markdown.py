@@ -18,8 +18,10 @@ MAX_LEVEL, FILL, NO_HEADING = 4, 0.6, "(見出しなし)"  # fixed values
 
 
 def _parts(markdown: Column) -> tuple[Column, Column]:
-    """What lies around the fences, and the fences."""
-    return F.split(markdown, _FENCED, -1), F.regexp_extract_all(markdown, F.lit(_FENCED), F.lit(0))
+    """What lies around the fences, and the fences; a text without three backticks is not searched for any."""
+    some, none = F.contains(markdown, F.lit("```")), ~F.contains(markdown, F.lit("```"))
+    around = F.when(some, F.split(markdown, _FENCED, -1)).when(none, F.array(markdown))
+    return around, F.when(some, F.regexp_extract_all(markdown, F.lit(_FENCED), F.lit(0))).when(none, F.array().cast("array<string>"))
 
 
 def _woven(around: Column, fences: Column) -> Column:

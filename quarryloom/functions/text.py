@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: white space other than the newline, and what counts as CJK for token estimates
+BEYOND = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 BLANK = r"\t\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 SPACE = BLANK + r"\n"
 CJK = (
@@ -34,17 +35,33 @@ def count(text: Column, pattern: str) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    """Only a text that begins or ends with white space is searched."""
+    edge = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1)).rlike(f"[{SPACE}]")
+    return F.when(edge, F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")).otherwise(text)
+
+
+def _cjk(text: Column) -> Column:
+    """How many; a text of ASCII has none, which its length in bytes tells."""
+    return F.when(F.octet_length(text) == F.length(text), 0).otherwise(count(text, f"[{CJK}]"))
+
+
+def _blanks(text: Column) -> Column:
+    """How many; the ASCII ones by what a text loses without them, which costs no regular expression."""
+    without = text
+    for c in " \n\t\r\f\x0b":
+        without = F.replace(without, F.lit(c), F.lit(""))
+    beyond = F.when(F.octet_length(text) == F.length(text), 0).otherwise(count(text, f"[{BEYOND}]"))
+    return F.octet_length(text) - F.octet_length(without) + beyond
 
 
 def char_classes(text: Column) -> Column:
     """struct(cjk, other, space): code points of each class."""
-    cjk, space = count(text, f"[{CJK}]"), count(text, f"[{SPACE}]")
+    cjk, space = _cjk(text), _blanks(text)
     return F.struct(cjk.alias("cjk"), (F.length(text) - cjk - space).alias("other"), space.alias("space"))
 
 
 def estimate_tokens(text: Column) -> Column:
-    cjk, space = count(text, f"[{CJK}]"), count(text, f"[{SPACE}]")
+    cjk, space = _cjk(text), _blanks(text)
     other = F.length(text) - cjk - space
     return F.ceil(cjk * F.lit(CJK_TOKENS) + other / F.lit(OTHER_CHARS)).cast("long")
 
