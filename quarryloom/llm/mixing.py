@@ -188,7 +188,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def write_shards(mixture: DataFrame, path: str, shards: int) -> None:
-    """One folder for each shard, its documents in shuffled order."""
+    """mix()'s rows as a folder for each shard, its documents in shuffled order (by _place); shards: tasks that
+    write. Documents without words are written as they are; an empty mixture writes no folder."""
     mixture.repartition(max(1, shards), "_shard").sortWithinPartitions("_shard", "_place").write.partitionBy("_shard").parquet(path)
 
 
