@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryloom.dom import content as C
+from quarryloom.operators.policy import spa_reason
 
 _D, _L, _S = T.DoubleType(), T.LongType(), T.StringType()
 STATS = ["visible_chars", "leaves", "table_cells", "canvases", "svgs", "images", "images_without_alt", "image_area"]
+SPA = ["root_id", "root_chars", "noscript", "html_chars", "text_chars"]
 EXTRACTED = T.StructType([
     T.StructField("title", _S), T.StructField("markdown", _S), T.StructField("method", _S), T.StructField("adapter", _S), T.StructField("pruned", _L), T.StructField("error_code", _S),
     *(T.StructField(s, _D) for s in STATS),
@@ -76,6 +78,24 @@ def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
     return told.select(*mine, F.explode("_links").alias("_l")).select(*mine, F.col("_l.url").alias("link_url"), F.col("_l.title").alias("link_title"), F.col("_l.pos").alias("link_pos"))
 
 
+def extract_of_two(captures: DataFrame, http: str = "http_html", browser: str = "browser_html", url: str = "url", ids: str = "block_ids", chars: str = "text_length") -> DataFrame:
+    """captures with tier (http or browser), escalation (why the browser's page was taken, or null) and the fields
+    of EXTRACTED. The browser's page, where one was captured, is taken if the plain one shows that it needs a
+    browser; and if the plain one gives no more than its body while the browser's layout shows a main column."""
+    told = spa_statistics(captures, http).withColumn("escalation", F.when(F.col(browser).isNotNull(), spa_reason(*[F.col(c) for c in SPA])))
+
+    def one(h, b, u, i, n, reason):
+        tier = "http" if reason is None else "browser"
+        e = C.extract(h, u) if reason is None else C.extract(b, u, None, i, n or 0)
+        if reason is None and b is not None and e.method == "body-fallback":
+            again = C.extract(b, u, None, i, n or 0)
+            if again.method == "geometry":
+                e, tier = again, "browser"
+        return (tier, e.title, e.markdown, e.method, e.adapter, e.pruned, e.error_code, *(float(e.stats[s]) for s in STATS))
+
+    return _mapped(told.drop(*SPA), [T.StructField("tier", _S), *EXTRACTED.fields], [http, browser, url, ids, chars, "escalation"], one)
+
+
 def page_sources(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """url, feed (that the page names, or null) and links (array of url, title, pos) of every page."""
 

@@ -29,6 +29,12 @@ def turn_schedule(requests: DataFrame, host: str, arrival: str, tie: str, interv
     return placed.withColumn("granted", base + F.col("_i") * F.col("_d")).withColumn("waited", F.col("granted") - F.col(arrival)).drop("_i", "_d")
 
 
+def ttl_setting(raw: Column, default: int = TTL_MS) -> Column:
+    """Milliseconds that a setting's text asks for; the default where it is no number above zero."""
+    asked = raw.try_cast("double")
+    return F.when((asked > 0) & (asked < float("inf")), asked).otherwise(F.lit(float(default)))
+
+
 def is_fresh(fetched_at: Column, now: Column, ttl: int = TTL_MS) -> Column:
     return F.coalesce(now - fetched_at < ttl, F.lit(False))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryloom.functions.urls import guess_filename
@@ -119,3 +119,8 @@ def pdf_response(title: Column, url: Column, cache: Column, pages: Column, paged
         F.when(paged["exceeded_budget"], OVER_BUDGET),
     )
     return F.concat(header, F.lit("\n\n"), paged["content"])
+
+
+def write_responses(responses: DataFrame, path: str, response: str = "response") -> None:
+    """Responses as text files, each followed by a newline; rows without one (errors) are left out."""
+    responses.filter(F.col(response).isNotNull()).select(F.col(response).alias("value")).write.mode("errorifexists").text(path)

@@ -324,3 +324,38 @@ def links_of_page(spark, sf):
     sitemaps = spark.createDataFrame([("https://a.example/sitemap.xml", _SITEMAP.format(_locs("https://a.example/1", "https://a.example/2")))], "url string, body string")
     found = S.discover_links(pages, sitemaps, spark.createDataFrame([], "url string, body string"), spark.createDataFrame([], "origin string, body string"), wanted="/2")
     return found.select("url", R.links_response(F.col("url"), F.col("source"), F.col("links"), F.col("truncated"), F.col("before_filter")).alias("response"))
+
+
+@query(
+    "tier_choice",
+    expected(
+        "id tier escalation method markdown",
+        (1, "http", None, "readability", _PROSE), (2, "browser", "empty-root", "body-fallback", "rendered"), (3, "http", None, "body-fallback", "few"), (4, "browser", None, "geometry", "字" * 250), (5, "http", None, "body-fallback", ""), (6, "http", None, "body-fallback", "few"),
+    ),
+)
+def tier_choice(spark, sf):
+    """A page that reads well; an empty root; a poor page whose browser page is no better, one whose layout
+    shows its column; an empty root without a browser page; a poor page without one."""
+    root, column = '<div id="root"></div>', f'<span data-gid="1">{"字" * 250}</span>'
+    article = f"<article><p>{_PROSE}</p></article>"
+    rows = [(1, article, "<p>other", None, 0), (2, root, "<p>rendered", None, 0), (3, "<p>few", "<p>other", None, 0), (4, "<p>few", column, ["1"], 250), (5, root, None, None, 0), (6, "<p>few", None, None, 0)]
+    captures = spark.createDataFrame(rows, "id long, http_html string, browser_html string, block_ids array<string>, text_length long").withColumn("url", F.lit("https://e.example/"))
+    return E.extract_of_two(captures).select("id", "tier", "escalation", "method", "markdown")
+
+
+@query("ttl_settings", expected("raw ttl", ("5000", 5000.0), ("0", 900000.0), ("-1", 900000.0), ("x", 900000.0), (None, 900000.0), ("Infinity", 900000.0), ("1.5e3", 1500.0)))
+def ttl_settings(spark, sf):
+    raws = [(x,) for x in ("5000", "0", "-1", "x", None, "Infinity", "1.5e3")]
+    return spark.createDataFrame(raws, "raw string").select("raw", P.ttl_setting(F.col("raw")).alias("ttl"))
+
+
+@query("prune_throttle", expected("last due", (None, True), (0, True), (900, True), (901, False), (1000, False)))
+def prune_throttle(spark, sf):
+    rows = spark.createDataFrame([(None,), (0,), (900,), (901,), (1000,)], "last long")
+    return rows.select("last", ST.prune_due(F.col("last"), F.lit(1000), 100).alias("due"))
+
+
+@query("stale_hosts", expected("host", ("new",), ("edge",), ("awaited",)))
+def stale_hosts(spark, sf):
+    rows = [("new", 990, False), ("edge", 900, None), ("old", 899, False), ("awaited", 10, True)]
+    return ST.drop_stale_hosts(spark.createDataFrame(rows, "host string, last_request_at long, waiting boolean"), 1000, 100).select("host")

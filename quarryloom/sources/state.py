@@ -46,6 +46,17 @@ def prune(state: DataFrame, time: str, now: int, ttl: int) -> DataFrame:
     return state.filter(F.col(time) >= now - ttl)
 
 
+def prune_due(last_pruned: Column, now: Column, ttl: int) -> Column:
+    """Whether a state table is to be pruned: not again until a whole ttl has passed."""
+    return F.coalesce(now - last_pruned >= ttl, F.lit(True))
+
+
+def drop_stale_hosts(hosts: DataFrame, now: int, ttl: int) -> DataFrame:
+    """hosts (last_request_at, waiting: requests that still stand in its queue) without those that nobody asked
+    for within ttl; a host that is waited for stays, or its queue would begin anew."""
+    return hosts.filter((F.col("last_request_at") >= now - ttl) | F.coalesce(F.col("waiting"), F.lit(False)))
+
+
 def with_defaults(pages: DataFrame) -> DataFrame:
     """pages as a cached page is shown: null metadata replaced by defaults."""
     m = F.col("metadata")
