@@ -20,10 +20,10 @@ ONE_TASK = 200_000
 
 def meetings(posts: DataFrame, name: str) -> DataFrame:
     """posts: no, place. A table of those at places where more than one no is, with the place's lo and hi,
-    the least and the greatest no there. Dealt by place once; a place's size does not matter."""
-    dealt = posts.repartition("place")
-    hubs = dealt.groupBy("place").agg(F.min("no").alias("lo"), F.max("no").alias("hi")).filter(F.col("lo") < F.col("hi"))
-    return written(dealt.join(hubs, "place"), name)
+    the least and the greatest no there. lo and hi are summed up before they are dealt, and written before they
+    are joined: a join with no aggregation in its tasks can be split, however many share a place."""
+    hubs = written(posts.groupBy("place").agg(F.min("no").alias("lo"), F.max("no").alias("hi")).filter(F.col("lo") < F.col("hi")), f"{name}-hubs")
+    return written(posts.join(hubs, "place"), name)
 
 
 def stars(met: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def _hashed(rows: DataFrame, text: str, h1: str = "h1", h2: str = "h2") -> DataF
 
 def similar(docs: DataFrame, texts: DataFrame, text: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of numbers of texts (as _sketches gives them) whose similarity suffices, of those compared."""
-    heads = texts.groupBy("fp").agg(F.min("no").alias("head"))
+    heads = written(texts.groupBy("fp").agg(F.min("no").alias("head")), "near-heads")
     alike = texts.join(heads, "fp").select(F.col("no").alias("a"), F.col("head").alias("b"))
     near = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     shared = stars(meetings(texts.select("no", F.explode("least").alias("place")), "near-met"))
@@ -182,12 +182,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     texts = written(_sketches(docs, doc_id, text, shingle), "near-sketches")
     comp = components(similar(docs, texts, text, shingle, similarity)).withColumnRenamed("node", "no")
     rooted = texts.join(comp, "no", "left").withColumn("root", F.coalesce("root", "no"))
-    first = rooted.groupBy("root").agg(F.min(F.struct("keep", "h1", "h2")).alias("first"))
-    k1, k2, of, t1, t2 = (fresh(docs, c) for c in ("_h1", "_h2", "_keep_id", "_keep_h1", "_keep_h2"))
-    kept = first.select(F.col("first.keep.id").alias(of), F.col("first.h1").alias(t1), F.col("first.h2").alias(t2))
-    keyed = _hashed(docs, text, k1, k2)
-    on = keyed[k1].eqNullSafe(kept[t1]) & keyed[k2].eqNullSafe(kept[t2]) & keyed[doc_id].eqNullSafe(kept[of])
-    return keyed.join(kept, on, "left_semi").dropDuplicates([k1, k2]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rooted.groupBy("root").agg(F.min(F.struct("keep", "h1", "h2")).alias("first")).select("first.h1", "first.h2")
+    # one row of each text, picked before texts are dealt: copies do not travel, however many there are
+    k1, k2, row = (fresh(docs, c) for c in ("_h1", "_h2", "_row"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id))
+    rows = _hashed(docs, text, k1, k2).groupBy(k1, k2).agg(F.min_by(whole, order).alias(row))
+    met = rows.join(kept.toDF("h1", "h2"), (F.col(k1) == F.col("h1")) & (F.col(k2) == F.col("h2")), "left_semi")
+    return met.select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
