@@ -43,7 +43,7 @@ SAMPLE, LEAST_Z, LEAST_ODDS, PRIOR, DRIFT, SIGNIFICANT = 20_000, 3.0, 1.0, 500.0
 MOST_SURPRISE = 40.0
 _WORD = re.compile(r"[^\W_]+")
 #: Relative error of the sketches of distinct neighbours.
-_ERROR = 0.03
+_ERROR = 0.05
 
 
 def words(text: str | None) -> list[str]:
