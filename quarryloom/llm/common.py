@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,18 +22,26 @@ class Scope:
 
     def __init__(self):
         self.tables: list[tuple[SparkSession, str]] = []
+        self.entered = 0.0
 
     def __enter__(self) -> Scope:
+        self.entered = time.time()
         _scopes.append(self)
         return self
 
     def __exit__(self, *_) -> None:
         _scopes.remove(self)
 
-    def read_by(self, df: DataFrame) -> bool:
-        """Whether df reads one of the tables, so that they have to stay."""
+    def done_with(self, df: DataFrame) -> bool:
+        """Whether df reads files written since the scope was last entered, and none of its tables: then what
+        was made of the tables has been written, and df reads that."""
+        files = df.inputFiles()
         mine = [path.split("/")[-1] for _, path in self.tables]
-        return bool(mine) and any(name in f for f in df.inputFiles() for name in mine)
+        if not files or any(name in f for f in files for name in mine):
+            return False
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0]))
+        return path.getFileSystem(conf).getFileStatus(path).getModificationTime() >= self.entered * 1000
 
     def remove(self) -> None:
         """Only once what was made of the tables is written elsewhere."""

@@ -591,3 +591,11 @@ def test_pipeline(spark, tmp_path):
     assert left[1] <= left[0] - 38 and left[2] == left[1] - 1 and 1001 not in ids and {1, 2, 3, 4, 5} <= ids and 1000 not in ids
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} <= ids and out.count() > len(ids)
+    # chained without being written in between, with columns that clash; and over an empty table
+    clash = ["score", "_score", "_gone", "_gone_id", "_bad", "_bad_hits", "_row", "_h1", "least", "place"]
+    chained = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({c: F.lit("clash") for c in clash})
+    empty = chained.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        chained, empty = stage(spark, chained, str(tmp_path)), stage(spark, empty, str(tmp_path))
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert set(clash) <= set(chained.columns) and ids(chained) == ids(out) and ids(empty) == []
