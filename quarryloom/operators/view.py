@@ -98,7 +98,9 @@ def fetch_view(
     pages: DataFrame, mode: str = "auto", section: str | None = None, page: int = 1, max_tokens: int = MAX_TOKENS, force_full: bool = False, selector: str | None = None
 ) -> DataFrame:
     """url, mode_used, error_code, response of every page: template blocks removed, then a section, an
-    outline or a page of the Markdown. In auto mode a page of low quality is marked for a screenshot."""
+    outline or a page of the Markdown. In auto mode a page of low quality is marked for a screenshot.
+
+    What extraction gave is kept on the executors' disks until spark.catalog.clearCache()."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     # a domain's templates are known only when all its pages are extracted, so extraction is kept, without the html
