@@ -8,6 +8,8 @@ be split, and each round's links are a table in the shared folder. The driver se
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +18,21 @@ from quarryloom.llm.common import written
 MAX_ROUNDS = 60
 #: Links that one task takes: a round of so few needs no shuffle.
 ONE_TASK = 200_000
+#: Parts in which posts are dealt.
+PARTS = 4
 
 
 def meetings(posts: DataFrame, name: str) -> DataFrame:
     """posts: no, place. A table of those at places where more than one no is, with the place's lo and hi,
     the least and the greatest no there. lo and hi are summed up before they are dealt, and written before they
-    are joined: a join with no aggregation in its tasks can be split, however many share a place."""
-    hubs = written(posts.groupBy("place").agg(F.min("no").alias("lo"), F.max("no").alias("hi")).filter(F.col("lo") < F.col("hi")), f"{name}-hubs")
-    return written(posts.join(hubs, "place"), name)
+    are joined: a join with no aggregation in its tasks can be split, however many share a place. The places are
+    dealt in PARTS, one after the other, so that little is on disk at once."""
+    met = []
+    for part in range(PARTS):
+        some = posts.filter(F.pmod("place", F.lit(PARTS)) == part)
+        hubs = written(some.groupBy("place").agg(F.min("no").alias("lo"), F.max("no").alias("hi")).filter(F.col("lo") < F.col("hi")), f"{name}-hubs")
+        met.append(written(some.join(hubs, "place"), name))
+    return reduce(DataFrame.unionByName, met)
 
 
 def stars(met: DataFrame) -> DataFrame:
