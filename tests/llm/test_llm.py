@@ -404,6 +404,16 @@ def test_short_lines(spark):
     assert got == {0: rows[0][1], 1: "", 2: "ietzte", 3: "!!"}
 
 
+def test_lines_that_share_one_crowded_place(spark):
+    """Near lines that meet at one place only are linked, even if neither is its first or last line."""
+    rng = random.Random(80)
+    near = prose(rng, 20)
+    rows = [(i, prose(rng, 20)) for i in range(4)] + [(4, near), (5, near[:-1] + "x")] + [(i, prose(rng, 20)) for i in range(6, 10)]
+    found = line_dedup.lines(docs_of(spark, rows))
+    reps = line_dedup.representatives(found).withColumns({"no": F.col("keep.id"), "at": F.array(F.lit(7).cast("long"))})
+    assert {(r["node"], r["root"]) for r in line_dedup.groups(found, reps).collect()} == {(4, 4), (5, 4)}
+
+
 # 9
 def test_nearest(spark):
     rng = np.random.default_rng(9)
