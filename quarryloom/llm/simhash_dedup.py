@@ -12,8 +12,11 @@ and is compared in full there. Only distinct fingerprints are dealt out, so copi
 dedup() removes documents, so it takes NEAR = 5 words a shingle and asks for a Jaccard similarity of 0.8 of
 the sets of shingles, counted exactly. Two documents just as similar differ in about ten bits, far beyond
 what anchors can cover, so next to the pairs of the covering code it compares documents that share one of
-their SKETCH least shingle hashes: each with the first and the last document that has it. Pairs whose
-sketches differ too much for the similarity are left out before texts move.
+the first shingles of a common order: of n different ones the first n - ceil(0.8 n) + 1, of which two sets of
+that similarity always share one. Shingles that are common in a sample come last in the order, so that few
+documents meet at a passage; the order decides no result. Each document is compared with the first and the
+last one at a place, then every two of different groups there. Pairs whose first shingles differ in more than
+the similarity allows for the whole sets are left out before texts move. So no similar pair is lost.
 
 Nulls and odd rows: a null or wordless text has fingerprint zero and is linked like any other; a text of
 fewer words than a shingle is one shingle; repeated rows are each reported; a null doc_id takes part, and
@@ -24,6 +27,7 @@ equal in both one stays; columns of any name pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -34,11 +38,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom.llm.common import fresh, table, written
-from quarryloom.llm.graph import components, meetings, stars
+from quarryloom.llm.graph import components, meetings, mixed, stars
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
-#: Of dedup(): words of a shingle, similarity, hashes of a sketch, and how far the sketches' estimate may be off.
-NEAR, SIMILARITY, SKETCH, SLACK = 5, 0.8, 24, 0.35
+#: Of dedup(): words of a shingle, similarity.
+NEAR, SIMILARITY = 5, 0.8
+#: Documents of the sample (about), how often a shingle is common there, and how many of the commonest come last.
+SAMPLE, COMMON, LAST = 20_000, 8, 200_000
 
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:
@@ -123,22 +129,51 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return all_fps.join(named, "fp").select("id", "fp", "component")
 
 
-def _sketches(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """no (a number), h1 and h2 (hash of the text), keep (no id or not, least id), fp and least (sketch) of each different text."""
+def _keys(text: bytes | None, n: int) -> np.ndarray:
+    """62 bits of the hashes of the different shingles, in order."""
+    return np.unique(shingles(text, n) >> np.uint64(2)).view(np.int64)
+
+
+def _common(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """Keys of shingles that are common in a sample of documents, sorted."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(t.as_py(), shingle))], ["key"])
+
+    whole = docs.select(F.col(f"`{text}`").cast("binary").alias("text")).filter(F.col("text").isNotNull())
+    some = whole.filter(F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(max(1, whole.count() // SAMPLE))) == 0).distinct()
+    found = some.mapInArrow(of, "key bigint").groupBy("key").count().filter(F.col("count") >= COMMON)
+    return np.sort(np.array([r["key"] for r in found.orderBy(F.desc("count"), "key").limit(LAST).collect()], np.int64))
+
+
+def _sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """no (a number), h1 and h2 (hash of the text), keep (no id or not, least id), fp, size (different shingles) and
+    least (the first of them) of each different text."""
+    last = docs.sparkSession.sparkContext.broadcast(_common(docs, text, shingle))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, least = [], []
+            fps, sizes, least = [], [], []
             for t in batch.column(3):
                 h = shingles(t.as_py(), shingle)
                 fps.append(majority(h))
-                least.append(np.unique(h)[:SKETCH].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["id", "h1", "h2", "fp", "least"])
+                keys = np.unique(h >> np.uint64(2)).view(np.int64)
+                keys = np.sort(keys | (np.isin(keys, last.value, assume_unique=True).astype(np.int64) << 62))
+                sizes.append(len(keys))
+                least.append(keys[: len(keys) - math.ceil(similarity * len(keys) - 1e-9) + 1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.int64()))],
+                ["id", "h1", "h2", "fp", "size", "least"],
+            )
 
     cut = _hashed(docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text")), "text").select("id", "h1", "h2", "text")
     kind = cut.schema["id"].dataType.simpleString()
-    rows = cut.mapInArrow(of, f"id {kind}, h1 bigint, h2 bigint, fp bigint, least array<bigint>")
-    one = rows.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("keep"), F.first("fp").alias("fp"), F.first("least").alias("least"))
+    rows = cut.mapInArrow(of, f"id {kind}, h1 bigint, h2 bigint, fp bigint, size bigint, least array<bigint>")
+    one = rows.groupBy("h1", "h2").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("keep"), *[F.first(c).alias(c) for c in ("fp", "size", "least")]
+    )
     return one.withColumn("no", F.monotonically_increasing_id())
 
 
@@ -147,19 +182,15 @@ def _hashed(rows: DataFrame, text: str, h1: str = "h1", h2: str = "h2") -> DataF
     return rows.withColumns({h1: F.xxhash64(whole), h2: F.xxhash64(F.lit(1), whole)})
 
 
-def similar(docs: DataFrame, texts: DataFrame, text: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of numbers of texts (as _sketches gives them) whose similarity suffices, of those compared."""
-    heads = written(texts.groupBy("fp").agg(F.min("no").alias("head")), "near-heads")
-    alike = texts.join(heads, "fp").select(F.col("no").alias("a"), F.col("head").alias("b"))
-    near = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    shared = stars(meetings(texts.select("no", F.explode("least").alias("place")), "near-met"))
-    every = alike.unionByName(near).unionByName(shared).filter(F.col("a") != F.col("b"))
-    pairs = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sketch = texts.select("no", "least")
-    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
-    both = pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").withColumn("u", union)
-    guess = F.size(F.array_intersect(F.array_intersect("u", "x"), "y")) / F.greatest(F.size("u"), F.lit(1))
-    likely = written(both.filter((F.size("u") == 0) | (guess >= similarity - SLACK)).select("a", "b"), "near-pairs")
+def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """pairs (a, b) of numbers of texts -> those whose similarity suffices."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sketch = texts.select("no", "size", "least", F.array_max("least").alias("last"))
+    both = pairs.join(sketch.toDF("a", "m", "x", "p"), "a").join(sketch.toDF("b", "n", "y", "q"), "b")
+    # up to where both are known, the sets may differ in no more than all of them may
+    apart = lambda x, y: F.size(F.filter(F.array_except(x, y), lambda k: k <= F.least("p", "q")))
+    most = (F.col("m") + F.col("n")) * (1 - similarity) / (1 + similarity) + 1e-6
+    likely = written(both.filter(apart("x", "y") + apart("y", "x") <= most).select("a", "b"), "near-pairs")
     known = texts.select("no", "h1", "h2").join(likely.select(F.explode(F.array("a", "b")).alias("no")).distinct(), "no")
     whole = _hashed(docs.select(F.col(f"`{text}`").cast("binary").alias("text")), "text").join(known, ["h1", "h2"]).groupBy("no").agg(F.first("text").alias("text"))
     whole = written(whole, "near-texts")
@@ -177,9 +208,28 @@ def similar(docs: DataFrame, texts: DataFrame, text: str = "text", shingle: int
     return written(met.mapInArrow(verify, "a bigint, b bigint"), "near-links")
 
 
+def similar(docs: DataFrame, texts: DataFrame, text: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of numbers of texts (as _sketches gives them) that are similar enough; of similar pairs within a group,
+    as many as connect it."""
+    heads = written(texts.groupBy("fp").agg(F.min("no").alias("head")), "near-heads")
+    alike = texts.join(heads, "fp").select(F.col("no").alias("a"), F.col("head").alias("b"))
+    near = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    met = meetings(texts.select("no", F.explode("least").alias("place")), "near-met")
+    first = _verified(docs, texts, alike.unionByName(near).unionByName(stars(met)).filter(F.col("a") != F.col("b")), text, shingle, similarity)
+    rest = mixed(met, components(first), "near")
+    rest = written(rest.join(texts.select("no", "size"), "no"), "near-sized")
+    sized = F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-6
+    cross = rest.select("place", F.col("root").alias("ra"), F.col("no").alias("a"), F.col("size").alias("m")).join(
+        rest.select(F.col("place").alias("there"), F.col("root").alias("rb"), F.col("no").alias("b"), F.col("size").alias("n")),
+        (F.col("place") == F.col("there")) & (F.col("ra") < F.col("rb")) & sized,
+    )
+    cross = written(cross.select("a", "b"), "near-cross")
+    return first if cross.isEmpty() else first.unionByName(_verified(docs, texts, cross, text, shingle, similarity))
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY) -> DataFrame:
     """docs, all columns kept, with one row of each group of near copies: that of the smallest id."""
-    texts = written(_sketches(docs, doc_id, text, shingle), "near-sketches")
+    texts = written(_sketches(docs, doc_id, text, shingle, similarity), "near-sketches")
     comp = components(similar(docs, texts, text, shingle, similarity)).withColumnRenamed("node", "no")
     rooted = texts.join(comp, "no", "left").withColumn("root", F.coalesce("root", "no"))
     kept = rooted.groupBy("root").agg(F.min(F.struct("keep", "h1", "h2")).alias("first")).select("first.h1", "first.h2")

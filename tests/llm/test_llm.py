@@ -539,6 +539,28 @@ def test_one_of_each_group_stays(spark):
     assert simhash_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_similar_texts_that_share_one_crowded_place(spark):
+    """Similar texts that meet at one place only are linked, even if neither is its first or last text."""
+    rng = random.Random(81)
+    near = prose(rng, 100)
+    df = docs_of(spark, [(i, prose(rng, 100)) for i in range(4)] + [(4, near), (5, near + " end")] + [(i, prose(rng, 100)) for i in range(6, 10)])
+    texts = simhash_dedup._sketches(df, "doc_id", "text", 5, 0.8).withColumns({"no": F.col("keep.id"), "fp": F.col("keep.id") * 0x0123456789ABCD, "least": F.array(F.lit(7).cast("long"))})
+    assert {(r["a"], r["b"]) for r in simhash_dedup.similar(df, texts).collect()} == {(4, 5)}
+
+
+def test_all_similar_texts_meet(spark):
+    """Of every two texts of a similarity of 0.8 the sketches share a shingle, whichever are common."""
+    rng = random.Random(82)
+    passage, texts = prose(rng, 60), []
+    for i in range(40):
+        words = f"{prose(rng, rng.randint(20, 300))} {passage if i % 2 else ''}".split()
+        texts += [" ".join(words), " ".join(words[len(words) // 12 :] + ["more"] * (len(words) // 12))]
+    least = {r["keep"]["id"]: set(r["least"]) for r in simhash_dedup._sketches(docs_of(spark, list(enumerate(texts))), "doc_id", "text", 5, 0.8).collect()}
+    sets = {i: set(simhash_dedup.shingles(texts[i].encode(), 5).tolist()) for i in least}
+    pairs = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 10 and all(least[i] & least[j] for i, j in pairs)
+
+
 def test_anchors_cover(spark):
     """Every pair within two bits is linked, wherever the bits are."""
     rng = random.Random(11)
