@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarryloom.llm import ann, chat, decontaminate, graph, html_extract, line_dedup, mixing, simhash_dedup, suffix_dedup, toxicity, url_filter
+from quarryloom.llm import ann, chat, common, decontaminate, graph, html_extract, line_dedup, mixing, simhash_dedup, suffix_dedup, toxicity, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -414,6 +414,29 @@ def test_lines_that_share_one_crowded_place(spark):
     assert {(r["node"], r["root"]) for r in line_dedup.groups(found, reps).collect()} == {(4, 4), (5, 4)}
 
 
+def test_texts_of_lines_that_meet_none_are_not_kept(spark, monkeypatch):
+    """Only lines that meet another have their texts written, also where joins are not broadcast; the result is the same."""
+    rng = random.Random(82)
+    near = [prose(rng, 20) for _ in range(3)]
+    rows = [(None, near[0]), (1, f"{near[0][:-1]}x\n{near[1]}"), (2, f"{near[1]} 1"), (2, f"{near[1]} 1"), (3, near[2].upper())] + [(i, f"{prose(rng, 20)}\n{near[2]} {i % 3}") for i in range(4, 30)]
+    tables = []
+
+    def kept(df, name, *more, **options):
+        out = common.written(df, name, *more, **options)
+        tables.append((name, [c for c, kind in out.dtypes if kind == "string" and c in ("norm", "line")], out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", kept)
+    got = [sorted(map(str, line_dedup.dedup_lines(docs_of(spark, rows)).collect()))]
+    assert [name for name, texts, _ in tables if texts] == ["line-norms"]
+    # two of each of the first two, and the third as it is and with 0
+    assert sum(n for _, texts, n in tables if texts) == 6
+    monkeypatch.setattr(line_dedup, "BROADCAST_IDS", 1)
+    monkeypatch.setattr(graph, "BROADCAST_PLACES", 0)
+    got.append(sorted(map(str, line_dedup.dedup_lines(docs_of(spark, rows)).collect())))
+    assert got[0] == got[1] and sum(name == "line-norms" for name, *_ in tables) == 1 + line_dedup.PARTS
+
+
 # 9
 def test_nearest(spark):
     rng = np.random.default_rng(9)
