@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarryloom.functions.text import CJK, CJK_TOKENS, OTHER_CHARS, SPACE, estimate_tokens
+from quarryloom.functions.text import CJK, CJK_TOKENS, OTHER_CHARS, SPACE, bound, estimate_tokens
 from quarryloom.functions.urls import is_text_type, mime
 
 ROWS = 5
@@ -25,9 +27,20 @@ def tabular_preview(text: Column) -> Column:
     )
 
 
+def most_chars(max_tokens: int) -> int:
+    """Characters other than white space and CJK that max_tokens allows."""
+    n = max(0, int(max_tokens * OTHER_CHARS) + 2)
+    while n > 0 and math.ceil(n / OTHER_CHARS) > max_tokens:
+        n -= 1
+    return n
+
+
 def cap_tokens(text: Column, max_tokens: int) -> Column:
     """The longest prefix within max_tokens: the estimate never falls as a prefix grows, so the prefix ends
-    before the first code point at which the running cost would round up beyond the budget."""
+    before the first code point at which the running cost would round up beyond the budget.
+
+    A CJK character costs more than another, so a prefix within the budget holds most_chars() that are no white space at
+    most: no more of a text is looked at. Without CJK in it that is the prefix; else its characters are counted."""
     step = lambda a, c: F.struct(
         (a["cjk"] + F.when(c.rlike(f"[{CJK}]"), 1).otherwise(0)).alias("cjk"),
         (a["other"] + F.when(c.rlike(f"[{CJK}{SPACE}]"), 0).otherwise(1)).alias("other"),
@@ -41,8 +54,15 @@ def cap_tokens(text: Column, max_tokens: int) -> Column:
         return F.struct(b["cjk"].alias("cjk"), b["other"].alias("other"), F.when(more, a["n"] + 1).otherwise(a["n"]).alias("n"))
 
     zero = F.struct(F.lit(0).alias("cjk"), F.lit(0).alias("other"), F.lit(0).alias("n"))
-    n = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), zero, grow, lambda a: a["n"])
-    return F.when(estimate_tokens(text) <= max_tokens, text).otherwise(F.substring(text, F.lit(1), n))
+
+    def cut(head: Column) -> Column:
+        n = F.aggregate(F.filter(F.split(head, ""), lambda c: c != ""), zero, grow, lambda a: a["n"])
+        return F.when((F.octet_length(head) == F.length(head)) | ~head.rlike(f"[{CJK}]"), head).otherwise(F.substring(head, F.lit(1), n))
+
+    if max_tokens < 0:
+        return F.when(text.isNotNull(), "")
+    # possessive throughout: such a group is matched in a loop, and takes no stack
+    return bound(F.regexp_extract(text, rf"\A(?:[{SPACE}]*+[^{SPACE}]){{0,{most_chars(max_tokens)}}}+[{SPACE}]*+", 0), cut)
 
 
 def handoff_preview(text: Column, content_type: Column, max_tokens: int, source_cut: Column) -> Column:

@@ -1,5 +1,6 @@
 """Token estimates, pages, sections, excerpts and diffs."""
 
+import math
 import random
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from quarryloom.functions import markdown as M
 from quarryloom.functions import text as T
 from quarryloom.functions.cjk import normalise_cjk
-from quarryloom.functions.preview import cap_tokens, handoff_preview
+from quarryloom.functions.preview import cap_tokens, handoff_preview, most_chars
 from quarryloom.operators import diff as D
 from quarryloom.operators import template as P
 
@@ -183,6 +184,27 @@ def test_previews(spark):
     assert "先頭部分" in one(spark, handoff_preview(F.col("t"), F.lit("text/plain"), 100, F.lit(True)), t="x").note
 
 
+def test_capped_texts_are_read_no_further_than_the_budget(spark):
+    """The prefix is that of counting every character, and what lies beyond most_chars() is not counted."""
+    assert [most_chars(n) for n in (0, 1, 10, 25, 400)] == [0, 3, 38, 95, 1520]
+    rng = random.Random(6)
+    alphabet = "abcd ,\n\t\u00a0\u3000漢字かな。é😀"
+    texts = [None, "", "  ", "a" * 95, "a" * 96, "a" * 95 + " \n b", "漢" * 27, "漢" * 28] + ["".join(rng.choices(alphabet[: rng.choice([6, len(alphabet)])], k=rng.randint(0, 300))) for _ in range(200)]
+
+    def want(t):
+        cjk = other = n = 0
+        for c in t:
+            wide = bool(re.match(r"[\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uff01-\uffef]", c))
+            cjk, other = cjk + wide, other + (not wide and not c.isspace())
+            if math.ceil(cjk * 0.9 + other / 3.8) > 25:
+                break
+            n += 1
+        return t[:n]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", cap_tokens(F.col("t"), 25).alias("got")).collect()
+    assert {r["i"]: r["got"] for r in rows} == {i: t if t is None else want(t) for i, t in enumerate(texts)}
+
+
 def test_block_score_signs(spark):
     score = lambda t, links: one(spark, T.block_score(F.col("t"), F.col("l"))["score"], t=t, l=links)
     assert score("これは本文です。句読点があります、はい。", "") > 0 and score("Prose reads like this, with marks.", "") > 0
