@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,6 +30,11 @@ def normalise_cjk(text: str | None) -> str | None:
     return "".join(parts)
 
 
-@F.pandas_udf(StringType())
-def cjk_normalised(text: pd.Series) -> pd.Series:
-    return text.map(normalise_cjk)
+#: Texts that are Python objects at a time. A batch of Spark's holds up to 64 MB of them.
+SLICE_ROWS = 64
+
+
+@F.arrow_udf(StringType())
+def cjk_normalised(text: pa.Array) -> pa.Array:
+    parts = [pa.array([normalise_cjk(t) for t in text.slice(at, SLICE_ROWS).to_pylist()], pa.string()) for at in range(0, len(text), SLICE_ROWS)]
+    return pa.concat_arrays(parts or [pa.array([], pa.string())])

@@ -24,6 +24,19 @@ EXTRACTED = T.StructType([
 LINKS = T.ArrayType(T.StructType([T.StructField("url", _S), T.StructField("title", _S), T.StructField("pos", _L)]))
 
 
+#: Rows, and bytes of columns, that are Python objects at a time; one row at least.
+SLICE_ROWS, SLICE_BYTES = 64, 1 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of SLICE_ROWS, fewer where rows are long. Spark's batches hold up to 10,000 rows or 64 MB
+    which as objects, with all that is made of them, take a worker many times that."""
+    for batch in batches:
+        rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _mapped(df: DataFrame, fields: list[T.StructField], columns: list[str], make) -> DataFrame:
     """df with new fields; make turns the values of columns into a row of them."""
     keep = list(df.columns)
@@ -34,7 +47,7 @@ def _mapped(df: DataFrame, fields: list[T.StructField], columns: list[str], make
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow = [to_arrow_type(t) for t in types]
-        for batch in batches:
+        for batch in sliced(batches):
             inputs = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
             rows = [make(*values) for values in zip(*inputs)]
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)]
