@@ -101,11 +101,15 @@ def strip_links(text: Column) -> Column:
 def excerpt(section: Column) -> Column:
     """First sentence of a section's text without headings, else its first line; EXCERPT_CHARS at most."""
     prose = F.array_join(F.filter(F.split(section, "\n"), lambda x: ~x.rlike(r"\A#{1,6}[" + SPACE + r"]+[^\n]*\z")), "\n")
-    body = trim(strip_links(prose))
-    sentence = F.regexp_extract(body, r"[^。!?\n]*[。!?]", 0)
-    lines = F.filter(F.split(body, "\n"), lambda x: trim(x) != "")
-    first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
-    return F.substring(trim(F.when(body.rlike("[。!?]"), sentence).otherwise(first)), 1, EXCERPT_CHARS)
+
+    def of(body: Column) -> Column:
+        sentence = F.regexp_extract(body, r"[^。!?\n]*[。!?]", 0)
+        lines = F.filter(F.split(body, "\n"), lambda x: trim(x) != "")
+        first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+        return F.when(body.rlike("[。!?]"), sentence).otherwise(first)
+
+    short = lambda x: bound(x, lambda y: F.substring(trim(y), 1, EXCERPT_CHARS))
+    return short(bound(bound(strip_links(prose), trim), of))
 
 
 def escape_html(text: Column) -> Column:

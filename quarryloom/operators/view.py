@@ -31,10 +31,10 @@ def assessed(pages: DataFrame, selector: str | None = None) -> DataFrame:
     return got.withColumn("quality", q)
 
 
-def _with_hints(rows: DataFrame, got: DataFrame) -> DataFrame:
-    """rows with hints, from the links of the pages of the same urls."""
-    links = got.select("url", F.explode("links").alias("l")).select(F.col("url").alias("page_url"), F.col("url").alias("base"), "l.url", "l.title", "l.pos")
-    return rows.join(data_sources(links, "page_url", "base").withColumnRenamed("page_url", "url"), "url", "left")
+def _with_hints(rows: DataFrame, got: DataFrame, key: str = "url") -> DataFrame:
+    """rows with hints, from the links of the pages of the same key."""
+    links = got.select(F.col(key).alias("page_key"), F.col("url").alias("base"), F.explode("links").alias("l")).select("page_key", "base", "l.url", "l.title", "l.pos")
+    return rows.join(data_sources(links, "page_key", "base").withColumnRenamed("page_key", key), key, "left")
 
 
 def _info(cache: Column) -> Column:
@@ -104,23 +104,24 @@ def fetch_view(
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     # a domain's templates are known only when all its pages are extracted, so extraction is kept, without the html
-    got = assessed(pages, selector).drop("html").withColumn("domain", hostname(F.col("url"))).persist(StorageLevel.DISK_ONLY)
+    # a url may be captured more than once: pages are told apart by a number
+    got = assessed(pages, selector).drop("html").withColumns({"domain": hostname(F.col("url")), "_no": F.monotonically_increasing_id()}).persist(StorageLevel.DISK_ONLY)
     if force_full or selector:
         shown = got.withColumns({"shown": F.col("markdown"), "removed": F.lit(0).cast("long")})
     else:
         hashed = got.filter(F.col("markdown").isNotNull()).select("domain", "url", "fetched_at", P.block_hashes(M.blocks(F.col("markdown"))).alias("block_hashes"))
         shown = P.remove_template(got, P.template_hashes(hashed))
-    base = _with_hints(shown, got).withColumn("page", _info(F.lit("miss")))
+    base = _with_hints(shown, got, "_no").withColumn("page", _info(F.lit("miss")))
     bad = F.when(~is_http(F.col("url")), "INVALID_URL").otherwise(F.col("error_code"))
     if section:
-        one = M.sections(base.filter(F.col("shown").isNotNull()), "shown", "url").filter(F.col("id") == section).select("url", "content", M.breadcrumb(F.col("ancestors")).alias("path"))
-        rows = base.join(one, "url", "left").withColumn("paged", M.paginate(M.measured(M.blocks(F.col("content"))), max_tokens, F.lit(page)))
+        one = M.sections(shown.filter(F.col("shown").isNotNull()), "shown", "_no").filter(F.col("id") == section).select("_no", "content", M.breadcrumb(F.col("ancestors")).alias("path"))
+        rows = base.join(one, "_no", "left").withColumn("paged", M.paginate(M.measured(M.blocks(F.col("content"))), max_tokens, F.lit(page)))
         text = R.markdown_response(F.col("page"), F.col("paged"), F.col("removed"), F.lit(section), F.col("path"))
         code = F.coalesce(bad, F.when(F.col("content").isNull(), "SECTION_NOT_FOUND"))
         return rows.select("url", F.lit("markdown").alias("mode_used"), code.alias("error_code"), F.when(code.isNull(), text).alias("response"))
     if mode == "outline":
-        lines = M.outline(base.filter(F.col("shown").isNotNull()), "shown", "url").groupBy("url").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "level", "heading", "excerpt", "tokens"))).alias("sections"))
-        rows = base.join(lines, "url", "left")
+        lines = M.outline(shown.filter(F.col("shown").isNotNull()), "shown", "_no").groupBy("_no").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "level", "heading", "excerpt", "tokens"))).alias("sections"))
+        rows = base.join(lines, "_no", "left")
         sections = F.coalesce("sections", F.array().cast("array<struct<ord:int,id:string,level:int,heading:string,excerpt:string,tokens:bigint>>"))
         text = R.outline_response(F.col("page"), sections, estimate_tokens(F.col("shown")), F.col("removed"))
         return rows.select("url", F.lit("outline").alias("mode_used"), bad.alias("error_code"), F.when(bad.isNull(), text).alias("response"))
